@@ -8,6 +8,8 @@ whatever the batch size.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 
@@ -182,3 +184,54 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
 
 def slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[str]:
     return gather(data, start, size).to_pylist()
+
+
+class WordCache:
+    """Ids of distinct words, by 64-bit hash, for the words seen lately.
+
+    ``encode(new)`` gets positions in the list of asked-for words and returns (flat ids, ids per word).
+    """
+
+    def __init__(self, limit: int = 600_000):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.pool = np.zeros(1 << 16, np.int32)
+        self.used = 0
+        self.start = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int64)
+
+    def rows(self, hashes: np.ndarray, encode) -> np.ndarray:
+        """Rows (into start and size) of distinct words."""
+        if len(self.known) > self.limit:
+            self.clear()
+        rows = np.fromiter(map(self.known.get, hashes.tolist(), _MISSING), np.int64, len(hashes))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            flat, size = encode(new)
+            at = len(self.known)
+            self.start, self.size = _grown(self.start, at + len(new)), _grown(self.size, at + len(new))
+            self.pool = _grown(self.pool, self.used + len(flat))
+            rows[new] = at + np.arange(len(new))
+            self.start[rows[new]] = self.used + np.cumsum(size) - size
+            self.size[rows[new]] = size
+            self.pool[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+            self.known.update(zip(hashes[new].tolist(), rows[new].tolist()))
+        return rows
+
+    def ids(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words of these rows, one after another, and the number of each word."""
+        size = self.size[row]
+        return self.pool[ragged(self.start[row], size)], size
+
+
+_MISSING = repeat(-1)
+
+
+def _grown(array: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(array):
+        return array
+    return np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])

@@ -14,12 +14,12 @@ equal rows give equal results, one per row; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from ._text import SPACE_WORD, Prefix, kind, map_text, per_doc, ragged, slices, window_hash, words
+from ._text import SPACE_WORD, Prefix, WordCache, kind, map_text, per_doc, slices, window_hash, words
 
 #: language -> least and most characters per token, most share of byte-fallback tokens, least and most
 #: evenness (entropy of the tokens over that of equally frequent ones).  Fixed bands, set with a
@@ -33,7 +33,6 @@ BANDS = {
 }
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-_CACHE_WORDS = 600_000
 #: Entropy is measured against that of this many equally frequent tokens, or of the text's tokens if fewer.
 _EVEN_TOKENS = 400
 
@@ -47,41 +46,12 @@ class Fertility:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         n = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(n)])
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.start = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-
-    def lookup(self, hashes: np.ndarray, texts_of) -> np.ndarray:
-        """Rows of distinct words given by hash; texts_of(indices) lists the words themselves."""
-        if len(self.known) > _CACHE_WORDS:
-            self.clear()
-        rows = np.fromiter(map(self.known.get, hashes.tolist(), repeat(-1)), np.int64, len(hashes))
-        new = np.flatnonzero(rows < 0)
-        if len(new):
-            pieces = self.model.encode(texts_of(new), num_threads=1)
-            size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            flat = np.fromiter(chain.from_iterable(pieces), np.int32, int(size.sum()))
-            at = len(self.known)
-            self.start, self.size = _grown(self.start, at + len(new)), _grown(self.size, at + len(new))
-            self.pool = _grown(self.pool, self.used + len(flat))
-            rows[new] = at + np.arange(len(new))
-            self.start[rows[new]] = self.used + np.cumsum(size) - size
-            self.size[rows[new]] = size
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            self.known.update(zip(hashes[new].tolist(), rows[new].tolist()))
-        return rows
-
-
-def _grown(array: np.ndarray, n: int) -> np.ndarray:
-    if n <= len(array):
-        return array
-    return np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
+        self.cache = WordCache()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = self.model.encode(texts, num_threads=1)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        return np.fromiter(chain.from_iterable(pieces), np.int32, int(size.sum())), size
 
 
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -142,12 +112,10 @@ def fertility(counts: dict, data: np.ndarray, pieces: Fertility) -> tuple[np.nda
     """Tokens, byte-fallback tokens and entropy in bits for each document of a block."""
     unique, index, inverse = np.unique(counts["hash"], return_index=True, return_inverse=True)
     start, size = counts["start"][index], (counts["end"] - counts["start"])[index]
-    rows = pieces.lookup(unique, lambda new: slices(data, start[new], size[new]))
-    row = rows[inverse]
-    size = pieces.size[row]
+    rows = pieces.cache.rows(unique, lambda new: pieces.encode(slices(data, start[new], size[new])))
+    ids, size = pieces.cache.ids(rows[inverse])
     n_tokens = per_doc(size, counts["first"])
     n_docs = len(counts["n_words"])
-    ids = pieces.pool[ragged(pieces.start[row], size)]
     token_doc = np.repeat(np.arange(n_docs), n_tokens)
     n_bytes = np.bincount(token_doc[pieces.is_byte[ids]], minlength=n_docs)
     key = np.sort(token_doc * len(pieces.is_byte) + ids)

@@ -27,6 +27,18 @@ def op2_decontaminate(spark, sf_dir):
     return found.drop("items")
 
 
+def op5_bpe(spark, sf_dir):
+    from .bpe import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op7_token_files(spark, sf_dir):
+    from .token_files import token_files
+
+    return token_files(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op8_url_filter(spark, sf_dir):
     from .url_filter import filter_urls
 
@@ -39,7 +51,13 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op8_url_filter, op9_quality_rules)}
+def op10_token_counts(spark, sf_dir):
+    from .token_counts import count_sections
+
+    return count_sections(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_bpe, op7_token_files, op8_url_filter, op9_quality_rules, op10_token_counts)}
 
 ORACLE_SQL = {
     "op2_decontaminate": r"""
