@@ -27,6 +27,12 @@ def op2_decontaminate(spark, sf_dir):
     return found.drop("items")
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import removed_bytes
+
+    return removed_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark, sf_dir):
     from .bpe import round_trip
 
@@ -57,7 +63,7 @@ def op10_token_counts(spark, sf_dir):
     return count_sections(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_bpe, op7_token_files, op8_url_filter, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_suffix_dedup, op5_bpe, op7_token_files, op8_url_filter, op9_quality_rules, op10_token_counts)}
 
 ORACLE_SQL = {
     "op2_decontaminate": r"""

@@ -31,6 +31,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from ._jobs import materialise, shared_folder
 from ._text import SPACE_WORD, Prefix, WordCache, blocks, gather, mix, words
 
 MAGIC = 0x3153444954564953
@@ -202,20 +203,6 @@ def _encoder(path: str) -> WordEncoder:
 # ---- jobs ------------------------------------------------------------------------------------
 
 
-def shared_folder(spark) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here where none is configured (as in tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get()
-    return folder.rstrip("/")
-
-
 def _put(folder: str, name: str, image: bytes) -> None:
     from pyarrow import fs
 
@@ -277,7 +264,7 @@ def write_token_files(df, path: str, folder: str, end_id: int | None = 1, id_col
         if keys:
             yield flush()
 
-    return dealt.mapInArrow(write, "shard int, documents long, ids long").checkpoint(eager=True)
+    return materialise(dealt.mapInArrow(write, "shard int, documents long, ids long"), "shards")
 
 
 def read_token_files(spark, folder: str, id_col: str = "doc_id"):
