@@ -20,6 +20,12 @@ def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark, sf_dir):
+    from .ngram_join import ngram_components
+
+    return ngram_components(_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op2_decontaminate(spark, sf_dir):
     from .decontaminate import contamination
 
@@ -63,7 +69,7 @@ def op10_token_counts(spark, sf_dir):
     return count_sections(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_suffix_dedup, op5_bpe, op7_token_files, op8_url_filter, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op4_suffix_dedup, op5_bpe, op7_token_files, op8_url_filter, op9_quality_rules, op10_token_counts)}
 
 ORACLE_SQL = {
     "op2_decontaminate": r"""
