@@ -45,6 +45,13 @@ def op5_bpe(spark, sf_dir):
     return round_trip(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_quality_classifier(spark, sf_dir):
+    from .quality_classifier import classify, fit
+
+    docs = _table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_token_files(spark, sf_dir):
     from .token_files import token_files
 
@@ -69,7 +76,7 @@ def op10_token_counts(spark, sf_dir):
     return count_sections(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op4_suffix_dedup, op5_bpe, op7_token_files, op8_url_filter, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op4_suffix_dedup, op5_bpe, op6_quality_classifier, op7_token_files, op8_url_filter, op9_quality_rules, op10_token_counts)}
 
 ORACLE_SQL = {
     "op2_decontaminate": r"""
