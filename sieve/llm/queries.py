@@ -33,6 +33,12 @@ def op2_decontaminate(spark, sf_dir):
     return found.drop("items")
 
 
+def op3_html_extract(spark, sf_dir):
+    from .html_extract import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_dedup(spark, sf_dir):
     from .suffix_dedup import removed_bytes
 
@@ -76,7 +82,7 @@ def op10_token_counts(spark, sf_dir):
     return count_sections(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op4_suffix_dedup, op5_bpe, op6_quality_classifier, op7_token_files, op8_url_filter, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_html_extract, op4_suffix_dedup, op5_bpe, op6_quality_classifier, op7_token_files, op8_url_filter, op9_quality_rules, op10_token_counts)}
 
 ORACLE_SQL = {
     "op2_decontaminate": r"""
