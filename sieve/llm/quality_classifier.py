@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from ._text import SPACE_WORD, Prefix, column_bytes, kind, map_text, mix, ragged, words
+from ._text import BLOCK, SPACE_WORD, Prefix, blocks, kind, map_text, mix, ragged, words
 
 DIM = 16
 BUCKETS = 1 << 18
@@ -71,15 +71,15 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> np.ndarray:
     out[-1] = prior
     if not 0 < share < 1:
         return out
-    data, offsets = column_bytes(texts)
-    flat, count, inverse, first, again = documents_features(data, offsets)
-    where = np.cumsum(count) - count
     bags = []
-    for d in range(len(labels)):
-        own = inverse[first[d] : first[d + 1]]
-        marks = np.full(int(again[first[d] : first[d + 1]].sum()), BUCKETS, np.int32)
-        rows, n = np.unique(np.concatenate([flat[ragged(where[own], count[own])], marks]), return_counts=True)
-        bags.append((rows, (n / max(1, n.sum())).astype(np.float32)))
+    for block, data, offsets in blocks(pa.record_batch({"text": texts}), "text", BLOCK // 4):
+        flat, count, inverse, first, again = documents_features(data, offsets)
+        where = np.cumsum(count) - count
+        for d in range(block.num_rows):
+            own = inverse[first[d] : first[d + 1]]
+            marks = np.full(int(again[first[d] : first[d + 1]].sum()), BUCKETS, np.int32)
+            rows, n = np.unique(np.concatenate([flat[ragged(where[own], count[own])], marks]), return_counts=True)
+            bags.append((rows, (n / max(1, n.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 1, DIM)).astype(np.float32)
     soft = np.zeros((2, DIM), np.float32)
@@ -124,7 +124,7 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
 
 
-def fit(df, labels, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000, max_bytes: int = 20_000) -> np.ndarray:
+def fit(df, labels, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000, max_bytes: int = 20_000) -> np.ndarray:
     """Weights learned from at most ``max_rows`` labelled rows that aren't held out."""
     from pyspark.sql import functions as F
 
