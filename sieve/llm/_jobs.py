@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 
 def shared_folder(spark) -> str:
@@ -25,6 +26,18 @@ def materialise(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark, rows: int = 256):
+    """Jobs started inside hand Python at most so many rows at a time: for rows of many kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def unique_keys(df, id_col: str, text_col: str, key: str = "_key"):
     """The rows with a column ``key`` of distinct non-null longs in the order of (id, text); the id itself where it serves.
 

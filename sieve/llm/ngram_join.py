@@ -11,13 +11,16 @@ similarity t share one of the first n - ceil(t n) + 1 shingles in any common ord
 groups of a bounded sketch last, so that passages many documents share hardly meet).
 
 1. One scan gives each document's set size and digest, and the sketch.  Equal sets form a class; the least key stands for it.
-2. A second scan gives the prefixes of the classes.  Dealt by shingle, shingles of one class only drop out.
-3. Every class left joins the partition of its least shared shingle, with its set.  A tree in each partition finds the
+2. A second scan gives the prefixes of the classes.  Dealt by shingle, those drop out that no other class shares whose
+   size and whose place of the shingle allow a link.
+3. The classes of each shingle meet as points, in a tree (a single leaf if they are few); those without any partner that
+   the bound allows drop out.  Groups over ``PART`` are split into pairs of parts, so no task holds an unbounded group.
+4. Every class left joins the partition of its least shared shingle, now with its set.  A tree in each partition finds the
    components there: a search from text to text over those not yet reached.  Partitions over ``PART`` are split.
-4. Where classes of several components still share a prefix shingle, trees over their points find pairs between components:
+5. Where classes of several components still share a prefix shingle, trees over their points find pairs between components:
    first the pair of the best bound for each two components, then, after these have been verified and merged, every pair.
-   Groups over ``PART`` are split into pairs of parts, so no task holds an unbounded group.
-5. Links between components are joined by label propagation over written tables.
+   Points of 1,024 groups bound the pairs again before their sets are fetched.
+6. Links between components are joined by label propagation over written tables.
 
 Two texts link when 100 * |A & B| >= percent * |A | B|.  Copies are never expanded into pairs, and pairs inside a
 component found already aren't either, as they change no component.
@@ -34,16 +37,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from ._jobs import materialise, unique_keys
-from ._text import LOWER, SPACE_WORD, Prefix, blocks, mix, ragged, window_hash, words
+from ._jobs import materialise, small_batches, unique_keys
+from ._text import LOWER, SPACE_WORD, Prefix, blocks, column_bytes, ragged, window_hash, words
 
 SIZE = 5
 PERCENT = 80
 SKETCH_BITS = 20
 PART = 4096
 GROUPS = 64
+WIDE_BITS = 10
 FANOUT = 32
 BROADCAST_ROWS = 500_000
+NEAR = 64
+HELD = 200_000
 U64 = np.uint64
 
 
@@ -168,21 +174,24 @@ def components(flat: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _scan_sets(size: int):
-    """Rows (key, n, digest, digest2), and at the task's end the chunks of its sketch with key = null."""
+    """Rows (key, n, digest, digest2, points), and at the task's end the chunks of its sketch with key = null."""
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["key", "n", "d1", "d2", "chunk"]
+        names = ["key", "n", "d1", "d2", "points", "chunk"]
         for batch in batches:
             for block, data, offsets in blocks(batch, "text"):
                 sets = shingle_sets(data, offsets, size)
                 flat = np.concatenate(sets) if sets else np.zeros(0, U64)
                 sketch += np.bincount((flat >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
                 digest = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], U64).reshape(-1, 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.nulls(len(sets), pa.binary())], names=names)
+                sizes = np.array([len(s) for s in sets], np.int64)
+                points = np.minimum(count_vectors(flat, sizes, GROUPS), 255).astype(np.uint8)
+                points = pa.array([p.tobytes() for p in points], pa.binary())
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sizes), pa.array(digest[:, 0]), pa.array(digest[:, 1]), points, pa.nulls(len(sets), pa.binary())], names=names)
         cuts = np.split(np.minimum(sketch, (1 << 32) - 1).astype("<u4"), 16)
         if sketch.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64()), pa.array(np.arange(16)), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.array([c.tobytes() for c in cuts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64()), pa.array(np.arange(16)), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.binary()), pa.array([c.tobytes() for c in cuts], pa.binary())], names=names)
 
     return run
 
@@ -221,55 +230,76 @@ def _prefixes(size: int, percent: int, frequent):
 def _explode(batches):
     """Rows (shingle, key, spot): spot is n << 32 | place in the prefix."""
     for batch in batches:
-        _, offsets = _binary(batch.column(2))
-        raw, _ = _binary(batch.column(2))
+        _, offsets = column_bytes(batch.column(2))
+        raw, _ = column_bytes(batch.column(2))
         count = np.diff(offsets) // 8
         place = ragged(np.zeros(len(count), np.int64), count)
         keys, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), np.int64)), pa.array(np.repeat(keys, count)), pa.array(np.repeat(n << 32, count) | place)], names=["shingle", "key", "spot"])
 
 
-def _binary(column):
-    from ._text import column_bytes
+def may_link(shingle: np.ndarray, spot: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows, in the order (shingle, spot), have a partner of their shingle that sizes and places allow.
 
-    return column_bytes(column)
+    If the shingle is the first that two prefixes share, the overlap is at most what follows it in either.
+    In groups over ``NEAR`` rows all rows count.
+    """
+    n, place = spot >> 32, spot & 0xFFFFFFFF
+    keep = np.zeros(len(spot), bool)
+    for step in range(1, NEAR):
+        same = np.flatnonzero(shingle[step:] == shingle[:-step])
+        if not len(same):
+            return keep
+        i, j = same, same + step
+        need = needed(n[i], n[j], percent)
+        ok = (100 * n[i] >= percent * n[j]) & (n[i] - place[i] >= need) & (n[j] - place[j] >= need)
+        keep[i[ok]] = True
+        keep[j[ok]] = True
+    edge = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1], [True]]))
+    size = np.diff(edge)
+    return keep | np.repeat(size >= NEAR, size)
+
+
+def _shared_only(percent: int):
+    """The rows that may link with another row of their shingle; input in the order (shingle, spot)."""
+    names = ["shingle", "key", "spot"]
 
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 3  # the rows of the last shingle so far
+        large = None  # a shingle of so many rows that they go on as they come
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # ascending
+            keep = may_link(rows[0][:cut], rows[2][:cut], percent)
+            if large is not None:
+                keep |= rows[0][:cut] == large
+            out = [x[:cut][keep] for x in rows]
+            held = [x[cut:] for x in rows]
+            if len(held[0]) > HELD:
+                large = held[0][0]
+                out = [np.concatenate([x, h]) for x, h in zip(out, held)]
+                held = [h[:0] for h in held]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+        if len(held[0]):
+            keep = may_link(held[0], held[2], percent) | (held[0] == large if large is not None else False)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in held], names=names)
 
-def _shared_only(batches):
-    """The rows of shingles that two rows or more have; input in the order of the shingles."""
-    held = None  # the last row of the batch before, if it is the first of its shingle; its shingle else
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        s, k, p = (batch.column(i).to_numpy() for i in range(3))
-        same = np.zeros(len(s), bool)
-        same[1:] = s[1:] == s[:-1]
-        several = same.copy()
-        several[:-1] |= same[1:]
-        if last is not None and s[0] == last:
-            several[0] = True
-            if held is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held], names=["shingle", "key", "spot"])
-        if several.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (s, k, p)], names=["shingle", "key", "spot"])
-        last = int(s[-1])
-        held = None if several[-1] else (last, int(k[-1]), int(p[-1]))
+    return run
 
 
 def _sets_of(size: int):
-    """Rows (key, n, set, points and the rest of the columns) of texts."""
+    """Rows (part, key, n, wide, set) of texts; wide: a point of many more coordinates, for pairs of long texts."""
 
     def run(batches):
         for batch in batches:
             for block, data, offsets in blocks(batch, "text"):
-                sets = shingle_sets(data, offsets, size)
-                sizes = np.array([len(s) for s in sets], np.int64)
-                points = np.minimum(count_vectors(np.concatenate(sets), sizes, GROUPS), 65535).astype("<u2")
-                yield pa.RecordBatch.from_arrays(
-                    [block.column(0), block.column(2), pa.array(sizes), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([p.tobytes() for p in points], pa.binary())],
-                    names=["key", "part", "n", "set", "points"],
-                )
+                for row, s in enumerate(shingle_sets(data, offsets, size)):
+                    wide = np.minimum(np.bincount((s >> U64(64 - WIDE_BITS)).astype(np.int64), minlength=1 << WIDE_BITS), 255).astype(np.uint8)
+                    part, key = block.column(2)[row].as_py(), block.column(0)[row].as_py()
+                    columns = [pa.array([part], pa.int64()), pa.array([key], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([wide.tobytes()]), pa.array([s.tobytes()])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "key", "n", "wide", "set"])
 
     return run
 
@@ -292,78 +322,167 @@ def _grouped(batches, column: int):
 
 
 def _part_components(percent: int):
-    """Rows (key, component) from rows (part, key, set) in the order of the parts."""
+    """Rows (key, component, n, wide, set) from rows (part, key, n, wide, set) in the order of the parts."""
 
     def run(batches):
         for group in _grouped(batches, 0):
             keys = group.column(1).to_numpy()
-            if len(keys) == 1:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys)], names=["key", "component"])
-                continue
-            raw, offsets = _binary(group.column(2))
             order = np.argsort(keys)
-            sizes = (np.diff(offsets) // 8)[order]
-            flat = np.frombuffer(raw.tobytes(), U64)[ragged(offsets[:-1][order] // 8, sizes)]
-            keys = keys[order]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys[components(flat, sizes, percent)])], names=["key", "component"])
+            own = keys
+            if len(keys) > 1:
+                raw, offsets = column_bytes(group.column(4))
+                sizes = (np.diff(offsets) // 8)[order]
+                flat = np.frombuffer(raw.tobytes(), U64)[ragged(offsets[:-1][order] // 8, sizes)]
+                own = np.empty(len(keys), np.int64)
+                own[order] = keys[order][components(flat, sizes, percent)]
+            out = pa.table([pa.array(keys), pa.array(own), *(group.column(i) for i in (2, 3, 4))], names=["key", "component", "n", "wide", "set"])
+            yield from out.to_batches()
+
+    return run
+
+
+def _near(group, side, spot, points, percent: int, comp=None):
+    """Index pairs of rows of a group whose sizes, places and points allow a link (and whose components differ).
+
+    A group of at most ``FANOUT`` rows is one leaf, and the leaves of all such groups are read together; a larger one gets a tree.
+    """
+    n, place = spot >> 32, spot & 0xFFFFFFFF
+    points = points.astype(np.int32)
+    points[points == 255] = 1 << 20  # 255 or more bounds nothing
+    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    size = np.diff(edge)
+    row_size = np.repeat(size, size)
+    one_side = np.repeat(np.minimum.reduceat(side, edge[:-1]) == np.maximum.reduceat(side, edge[:-1]), size)
+
+    def fits(i, j):
+        ok = one_side[i] | (side[i] != side[j])
+        if comp is not None:
+            ok &= comp[i] != comp[j]
+        i, j = i[ok], j[ok]
+        need = needed(n[i], n[j], percent)
+        small, great = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        ok = (100 * small >= percent * great) & (n[i] - place[i] >= need) & (n[j] - place[j] >= need)
+        i, j, need = i[ok], j[ok], need[ok]
+        bound = np.concatenate([np.zeros(0, np.int64), *(np.minimum(points[i[k : k + 65536]], points[j[k : k + 65536]]).sum(1) for k in range(0, len(i), 65536))])
+        ok = bound >= need
+        return i[ok], j[ok]
+
+    found = []
+    leaf = row_size <= FANOUT
+    for step in range(1, FANOUT):
+        i = np.flatnonzero((group[step:] == group[:-step]) & leaf[step:])
+        if not len(i):
+            break
+        found.append(fits(i, i + step))
+    for g in np.flatnonzero(size > FANOUT):
+        lo, hi = edge[g], edge[g + 1]
+        tree = CountTree(points[lo:hi], n[lo:hi], percent)
+        for i in range(lo, hi):
+            near = lo + tree.query(points[i], int(n[i]))
+            near = near[near > i]
+            if len(near):
+                found.append(fits(np.full(len(near), i), near))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+
+def _whole_groups(batches):
+    """Batches cut so that no group (the first column, in its order) is divided; as lists of arrays, points as a matrix."""
+
+    def arrays(table):
+        out = [table.column(i).to_numpy() for i in range(table.num_columns - 1)]
+        raw, _ = column_bytes(table.column(table.num_columns - 1))
+        return [*out, raw.reshape(len(out[0]), GROUPS)]
+
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = batch.column(0).to_numpy()
+        cut = int(np.flatnonzero(g == g[-1])[0])
+        if cut:
+            held.append(batch.slice(0, cut))
+            yield arrays(pa.Table.from_batches(held))
+            held = []
+        elif held and held[0].column(0)[-1].as_py() != g[0]:
+            yield arrays(pa.Table.from_batches(held))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield arrays(pa.Table.from_batches(held))
+
+
+def _survivors(percent: int):
+    """The rows (shingle, key, spot, points) that may link, from rows (group, side, shingle, key, spot, points) in the order (group, spot)."""
+
+    def run(batches):
+        for group, side, shingle, key, spot, points in _whole_groups(batches):
+            rows = np.unique(np.concatenate(_near(group, side, spot, points, percent)))
+            blob = pa.array([p.tobytes() for p in points[rows]], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[rows]), pa.array(key[rows]), pa.array(spot[rows]), blob], names=["shingle", "key", "spot", "points"])
 
     return run
 
 
 def _cross_pairs(percent: int, best: bool):
-    """Pairs (a, b, ca, cb, bound) between components from rows (group, side, key, spot, component, points) in the order of the groups.
+    """Pairs (a, b, ca, cb, bound) between components from rows (group, side, key, spot, component, points) in the order (group, spot).
 
     side: -1 for a whole group; else the part of a split group, where only rows of different parts, or of the one part, meet.
     """
 
     def run(batches):
-        for group in _grouped(batches, 0):
-            side, key, spot, comp = (group.column(i).to_numpy() for i in range(1, 5))
-            if (comp == comp[0]).all():
-                continue
-            raw, _ = _binary(group.column(5))
-            points = np.frombuffer(raw.tobytes(), "<u2").reshape(len(key), GROUPS).astype(np.int32)
-            n, place = spot >> 32, spot & 0xFFFFFFFF
-            capped = (points == 65535).any(1)  # a capped coordinate gives no bound
-            points[capped] = 1 << 20
-            tree = CountTree(points, n, percent)
-            split = len(np.unique(side)) > 1
-            found = []
-            for i in range(len(key)):
-                near = tree.query(points[i], int(n[i]))
-                near = near[(comp[near] > comp[i]) & ((side[near] != side[i]) if split else True)]
-                need = needed(n[near], n[i], percent)
-                near = near[(n[i] - place[i] >= need) & (n[near] - place[near] >= need)]
-                if len(near):
-                    bound = np.minimum(points[near], points[i]).sum(1) * 1000 // (n[near] + n[i])
-                    found.append(np.stack([np.full(len(near), key[i]), key[near], np.full(len(near), comp[i]), comp[near], bound], 1))
-            if not found:
+        for group, side, key, spot, comp, points in _whole_groups(batches):
+            i, j = _near(group, side, spot, points, percent, comp)
+            if not len(i):
                 continue
-            pairs = np.concatenate(found)
-            if best:
-                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], -pairs[:, 4], pairs[:, 3], pairs[:, 2]))]
-                first = np.ones(len(pairs), bool)
-                first[1:] = (pairs[1:, 2] != pairs[:-1, 2]) | (pairs[1:, 3] != pairs[:-1, 3])
-                pairs = pairs[first]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, j]) for j in range(5)], names=["a", "b", "ca", "cb", "bound"])
+            swap = comp[i] > comp[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            bound = np.minimum(points[i], points[j]).sum(1, dtype=np.int64) * 1000 // ((spot[i] >> 32) + (spot[j] >> 32))
+            pairs = np.stack([key[i], key[j], comp[i], comp[j], bound], 1)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], -pairs[:, 4], pairs[:, 3], pairs[:, 2]))]
+            by = [2, 3] if best else [0, 1]
+            if not best:
+                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            first = np.ones(len(pairs), bool)
+            first[1:] = (pairs[1:, by] != pairs[:-1, by]).any(1)
+            pairs = pairs[first]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(5)], names=["a", "b", "ca", "cb", "bound"])
+
+    return run
+
+
+def _bounded(percent: int):
+    """Rows (a, b, ca, cb) whose wide points allow a link, from rows (a, b, ca, cb, n_a, wide_a, n_b, wide_b)."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                rows = batch.slice(lo, 2000)
+                one, two = (column_bytes(rows.column(i))[0].reshape(-1, 1 << WIDE_BITS).astype(np.int32) for i in (5, 7))
+                for x in (one, two):
+                    x[x == 255] = 1 << 20  # 255 or more bounds nothing
+                n, m = rows.column(4).to_numpy(), rows.column(6).to_numpy()
+                bound = np.minimum(np.minimum(one, two).sum(1), np.minimum(n, m))
+                yield rows.select([0, 1, 2, 3]).filter(pa.array(bound >= needed(n, m, percent)))
 
     return run
 
 
 def _verify(percent: int):
-    """Rows (ca, cb) of pairs that link, from rows (ca, cb, set, set2)."""
+    """Rows (ca, cb) of pairs that link, from rows (a, b, ca, cb, set_a, set_b)."""
 
     def run(batches):
         for batch in batches:
-            ra, oa = _binary(batch.column(2))
-            rb, ob = _binary(batch.column(3))
+            ra, oa = column_bytes(batch.column(4))
+            rb, ob = column_bytes(batch.column(5))
             linked = []
             for i in range(batch.num_rows):
                 a = np.frombuffer(ra[oa[i] : oa[i + 1]].tobytes(), U64)
                 b = np.frombuffer(rb[ob[i] : ob[i + 1]].tobytes(), U64)
                 common = overlaps(a, b, np.zeros(1, np.int64), np.array([len(b)]))[0]
                 linked.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["ca", "cb"]).filter(pa.array(linked, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3)], names=["ca", "cb"]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
@@ -407,44 +526,80 @@ def _sketch(scanned):
     return sums.reshape(-1)
 
 
-def _merge(members, links):
-    """members (key, component, ...) with components joined along the links (ca, cb)."""
+def _merge(members, roots):
+    """members with the components of (node, root) renamed."""
     from pyspark.sql import functions as F
 
-    roots = connected(links).withColumnRenamed("node", "component")
-    rest = [c for c in members.columns if c != "component"]
-    return members.join(roots, "component", "left").select(*rest, F.coalesce("root", "component").alias("component"))
+    if roots.count() <= BROADCAST_ROWS:
+        roots = F.broadcast(roots)
+    joined = members.join(roots.withColumnRenamed("node", "component"), "component", "left")
+    return joined.select("key", F.coalesce("root", "component").alias("component"), "n", "wide", "set")
 
 
-def _links_between(shared, members, sets, percent: int, best: bool):
-    """Written links (ca, cb) between components whose members share a prefix shingle."""
+def _dealt(rows, counted, *columns: str):
+    """Rows dealt by shingle as (group, side, ...): a shingle of over ``PART`` rows meets itself as pairs of parts.
+
+    ``counted``: (shingle, rows).  Each row goes to the pairs that hold its part.
+    """
     from pyspark.sql import functions as F
 
-    rows = shared.join(members, "key")
-    several = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-    rows = rows.join(several.select("shingle", "rows"), "shingle")
-    # a large group meets itself as pairs of parts: each row goes to the pairs that hold its part
+    rows = rows.join(counted, "shingle")
     parts = F.ceil(F.col("rows") / F.lit(PART)).cast("int")
     part = F.pmod(F.xxhash64("key"), parts).cast("int")
     rows = rows.select("*", F.when(F.col("rows") <= PART, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), parts - 1)).alias("others"), part.alias("own"))
-    rows = rows.select("shingle", "key", "spot", "component", "points", "own", F.explode("others").alias("other"))
+    rows = rows.withColumn("other", F.explode("others"))
     side = F.when(F.col("other") < 0, F.lit(-1)).otherwise(F.col("own")).cast("int")
     group = F.when(F.col("other") < 0, F.col("shingle")).otherwise(F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")))
-    rows = rows.select(group.alias("group"), side.alias("side"), "key", "spot", "component", "points")
-    pairs = rows.repartition("group").sortWithinPartitions("group").mapInArrow(_cross_pairs(percent, best), "a long, b long, ca long, cb long, bound long")
+    return rows.select(group.alias("group"), side.alias("side"), *columns).repartition("group").sortWithinPartitions("group", "spot")
+
+
+def _candidates(shared, points, percent: int):
+    """The rows of ``shared`` that trees over the points leave, with their points, written."""
+    from pyspark.sql import functions as F
+
+    counted = shared.groupBy("shingle").agg(F.count("*").alias("rows"))
+    rows = _dealt(shared.join(points, "key"), counted, "shingle", "key", "spot", "points")
+    left = rows.mapInArrow(_survivors(percent), "shingle long, key long, spot long, points binary")
+    return materialise(left.dropDuplicates(["shingle", "key"]), "candidates")
+
+
+def _links_between(candidates, members, percent: int, best: bool):
+    """Written links (ca, cb) between components whose members share a prefix shingle."""
+    from pyspark.sql import functions as F
+
+    rows = candidates.join(members.select("key", "component"), "key")
+    several = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+    dealt = _dealt(rows, several.select("shingle", "rows"), "key", "spot", "component", "points")
+    pairs = dealt.mapInArrow(_cross_pairs(percent, best), "a long, b long, ca long, cb long, bound long")
     if best:
         pairs = pairs.groupBy("ca", "cb").agg(F.max(F.struct("bound", "a", "b")).alias("x")).select("x.a", "x.b", "ca", "cb")
     else:
         pairs = pairs.select("a", "b", "ca", "cb").distinct()
     pairs = materialise(pairs, "pairs")
+    near = _both_sides(pairs, members, ["n", "wide"])
+    if near is None:
+        return None
+    with small_batches(pairs.sparkSession):
+        pairs = materialise(near.mapInArrow(_bounded(percent), "a long, b long, ca long, cb long"), "pairs")
+        full = _both_sides(pairs, members, ["set"])
+        return None if full is None else materialise(full.mapInArrow(_verify(percent), "ca long, cb long").distinct(), "links")
+
+
+def _both_sides(pairs, members, columns: list[str]):
+    """Pairs (a, b, ca, cb) with columns of both members; None without pairs.  Members stay where they are if the pairs are few enough to broadcast."""
+    from pyspark.sql import functions as F
+
     n = pairs.count()
     if not n:
         return None
     own = F.broadcast(pairs) if n <= BROADCAST_ROWS else pairs
-    one = sets.withColumnsRenamed({"key": "a", "set": "set_a"}).join(own, "a").select("a", "b", "ca", "cb", "set_a")
-    two = sets.withColumnsRenamed({"key": "b", "set": "set_b"}).join(own.select("a", "b"), "b").select("a", "b", "set_b")
-    joined = one.join(two, ["a", "b"]).select("ca", "cb", "set_a", "set_b")
-    return materialise(joined.mapInArrow(_verify(percent), "ca long, cb long").distinct(), "links")
+
+    def side(x: str):
+        return members.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+
+    one = side("a").join(own, "a").select("a", "b", "ca", "cb", *[f"{c}_a" for c in columns])
+    two = side("b").join(own.select("a", "b"), "b").select("a", "b", *[f"{c}_b" for c in columns])
+    return one.join(two, ["a", "b"]).select("a", "b", "ca", "cb", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns])
 
 
 def ngram_components(df, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT):
@@ -475,27 +630,31 @@ def _components(df, id_col: str, text_col: str, size: int, percent: int, columns
     spark = df.sparkSession
     keyed = unique_keys(df, id_col, text_col, "_k")
     texts = keyed.select(F.col("_k").alias("key"), F.col(text_col).alias("text"))
-    scanned = materialise(texts.mapInArrow(_scan_sets(size), "key long, n long, d1 long, d2 long, chunk binary"), "sets")
-    docs = scanned.where("key is not null").select("key", "n", "d1", "d2")
+    scanned = materialise(texts.mapInArrow(_scan_sets(size), "key long, n long, d1 long, d2 long, points binary, chunk binary"), "sets")
+    docs = scanned.where("key is not null")
     least = docs.groupBy("d1", "d2", "n").agg(F.min("key").alias("class"))
-    classes = docs.join(least, ["d1", "d2", "n"]).select("key", "n", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("key")).alias("class"))
+    classes = docs.select("key", "n", "d1", "d2").join(least, ["d1", "d2", "n"]).select("key", "n", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("key")).alias("class"))
     frequent = spark.sparkContext.broadcast(frequent_groups(_sketch(scanned)))
     heads = least.where("n > 0").select(F.col("class").alias("key"))
     prefixes = texts.mapInArrow(_prefixes(size, percent, frequent), "key long, n long, prefix binary").join(heads, "key", "left_semi")
     exploded = prefixes.mapInArrow(_explode, "shingle long, key long, spot long")
-    shared = materialise(exploded.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_shared_only, "shingle long, key long, spot long"), "shared")
+    shared = materialise(exploded.repartition("shingle").sortWithinPartitions("shingle", "spot").mapInArrow(_shared_only(percent), "shingle long, key long, spot long"), "shared")
+
+    candidates = _candidates(shared, docs.select("key", "points"), percent)
 
-    home = shared.groupBy("key").agg(F.min("shingle").alias("home"))
+    home = candidates.groupBy("key").agg(F.min("shingle").alias("home"))
     crowd = home.groupBy("home").agg(F.count("*").alias("rows"))
-    home = home.join(crowd, "home").select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / F.lit(PART)))).alias("part"))
-    sets = materialise(texts.join(home, "key").select("key", "text", "part").mapInArrow(_sets_of(size), "key long, part long, n long, set binary, points binary"), "members")
-    found = sets.select("part", "key", "set").repartition("part").sortWithinPartitions("part").mapInArrow(_part_components(percent), "key long, component long")
-    points = sets.select("key", "points")
-    members = materialise(found.join(points, "key"), "members")
+    home = materialise(home.join(crowd, "home").select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / F.lit(PART)))).alias("part")), "homes")
+    if home.count() <= BROADCAST_ROWS:  # else the texts are shuffled
+        home = F.broadcast(home)
+    sets = texts.join(home, "key").select("key", "text", "part").mapInArrow(_sets_of(size), "part long, key long, n long, wide binary, set binary")
+    found = sets.repartition("part").sortWithinPartitions("part").mapInArrow(_part_components(percent), "key long, component long, n long, wide binary, set binary")
+    with small_batches(spark):
+        members = materialise(found, "members")
     for best in (True, False):
-        links = _links_between(shared, members, sets.select("key", "set"), percent, best)
+        links = _links_between(candidates, members, percent, best)
         if links is not None and not links.isEmpty():
-            members = materialise(_merge(members, links), "members")
+            members = _merge(members, connected(links))
     # the least key of a component: members' labels are keys of members, joined components take the least label
     final = members.groupBy("component").agg(F.min("key").alias("least"))
     member = members.select("key", "component").join(final, "component").select(F.col("key").alias("class"), "least")
