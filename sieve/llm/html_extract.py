@@ -370,7 +370,7 @@ def training_pages(n: int, seed: int = 5):
             return f"{named(tag, 'edge', 0.3 if tag == 'header' else 1)}{r.choice(['', f'<a href=/>{word()}</a>', f'<h1>{word()}</h1>'])}<p>{prose(r.randint(1, 6))}</p></{tag}>"
         if kind_ == "footer":
             tag = r.choice(["footer", "footer", "div"])
-            return f"{named(tag, 'edge', 0.2 if tag == 'footer' else 1)}{r.choice(['&copy; ', '© 2024 ', ''])}{r.choice(['', '<p>'])}{word()}.example &middot; {prose(r.randint(1, 20))}</{tag}>"
+            return f"{named(tag, 'edge', 0.2 if tag == 'footer' else 1)}{r.choice(['&copy; ', '© 2024 ', ''])}{r.choice(['', '<p>'])}{word()}.example &middot; {prose(r.choice([1, 6, 15, 30, 60]))}</{tag}>"
         if kind_ == "ad":
             tag = r.choice(["div", "div", "aside", "section", "p"])
             return f"{named(tag, 'ad', 1)}{r.choice(['', '<a href=x>'])}{prose(r.randint(2, 25))}</{tag}>"
@@ -390,7 +390,7 @@ def training_pages(n: int, seed: int = 5):
 
     def paragraph():
         x = r.random()
-        t = _MARK + prose(r.choice([1, 4, 12, 30, 60, 120]))
+        t = _MARK + prose(r.choice([1, 2, 5, 12, 30, 60, 120]))
         if x < 0.06:
             return f"<ul>{''.join(f'<li>{_MARK}{prose(r.randint(2, 20))}</li>' for _ in range(r.randint(2, 6)))}</ul>"
         if x < 0.1:
@@ -410,7 +410,7 @@ def training_pages(n: int, seed: int = 5):
         return f"<p>{t}</p>"
 
     for _ in range(n):
-        body = "".join(paragraph() for _ in range(r.choice([1, 2, 3, 5, 8, 14])))
+        body = "".join(paragraph() for _ in range(r.choice([1, 1, 2, 2, 3, 5, 8, 14])))
         if r.random() < 0.8:
             body = f"<h1>{_MARK}{prose(r.randint(1, 9))}</h1>{body}"
         if r.random() < 0.35:
