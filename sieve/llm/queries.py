@@ -85,6 +85,33 @@ def op10_token_counts(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_decontaminate, op3_html_extract, op4_suffix_dedup, op5_bpe, op6_quality_classifier, op7_token_files, op8_url_filter, op9_quality_rules, op10_token_counts)}
 
 ORACLE_SQL = {
+    "op1_ngram_join": r"""
+with recursive low as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+shingles as (
+  select distinct doc_id, case when len(w) >= 4 then array_to_string(w[i : i + 3], ' ') else array_to_string(w, ' ') end g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) i from low)),
+sizes as (select doc_id, count(*) n from shingles group by 1),
+pairs as (select a.doc_id a, b.doc_id b, count(*) c from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+edges as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (select a, b from edges union select r.doc_id, e.b from reach r join edges e on e.a = r.other),
+least_ as (select doc_id, min(other) other from reach group by 1),
+sets as (select doc_id, sha256(string_agg(g, chr(10) order by g)) h from shingles group by 1),
+classes as (select doc_id, min(doc_id) over (partition by h) class_id from sets)
+select d.doc_id, coalesce(s.n, 0) n_shingles, coalesce(c.class_id, d.doc_id) class_id, least(d.doc_id, coalesce(l.other, d.doc_id)) component_id
+from documents d left join sizes s using (doc_id) left join classes c using (doc_id) left join least_ l using (doc_id)""",
+    "op4_suffix_dedup": r"""
+with b as (select doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n_bytes from documents),
+starts as (select doc_id, i, substr(h, 2 * i + 1, 200) s from (select doc_id, h, unnest(range(0, n_bytes - 99)) i from b)),
+later as (select doc_id, i from starts qualify row_number() over (partition by s order by doc_id, i) > 1),
+marked as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end opens from later),
+runs as (select doc_id, run, min(i) lo, max(i) + 100 hi from (select doc_id, i, sum(opens) over (partition by doc_id order by i) run from marked) group by 1, 2),
+counts as (select doc_id, sum(hi - lo) n_removed, count(*) n_spans, max(hi) last_ from runs group by 1),
+gaps as (select doc_id, lo, coalesce(lag(hi) over (partition by doc_id order by lo), 0) from_ from runs),
+pieces as (select doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (lo - from_)), '' order by lo) k from gaps join b using (doc_id) group by 1)
+select b.doc_id, n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(last_, 0) + 1))) kept_sha256
+from b left join counts using (doc_id) left join pieces using (doc_id)""",
     "op2_decontaminate": r"""
 with words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') w from documents),
