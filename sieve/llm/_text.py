@@ -8,8 +8,6 @@ whatever the batch size.
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
 
@@ -187,50 +185,51 @@ def slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[str]:
 
 
 class WordCache:
-    """Ids of distinct words, by 64-bit hash, for the words seen lately.
-
-    ``encode(new)`` gets positions in the list of asked-for words and returns (flat ids, ids per word).
-    """
+    """Ids of distinct words, by 64-bit hash, for the words seen lately: flat arrays, about 20 bytes a word and 4 an id."""
 
     def __init__(self, limit: int = 600_000):
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, U64)  # ascending
+        self.row = np.zeros(0, np.int32)
         self.pool = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int32)
 
     def rows(self, hashes: np.ndarray, encode) -> np.ndarray:
-        """Rows (into start and size) of distinct words."""
+        """Rows (into start and size) of distinct words, ascending by hash; ``encode(new)`` gets the positions of
+        unknown ones and returns (flat ids, ids per word)."""
         if len(self.known) > self.limit:
             self.clear()
-        rows = np.fromiter(map(self.known.get, hashes.tolist(), _MISSING), np.int64, len(hashes))
-        new = np.flatnonzero(rows < 0)
+        at = np.searchsorted(self.known, hashes)
+        inside = np.minimum(at, max(0, len(self.known) - 1))
+        found = self.known[inside] == hashes if len(self.known) else np.zeros(len(hashes), bool)
+        rows = np.full(len(hashes), -1, np.int64)
+        rows[found] = self.row[at[found]]
+        new = np.flatnonzero(~found)
         if len(new):
             flat, size = encode(new)
-            at = len(self.known)
-            self.start, self.size = _grown(self.start, at + len(new)), _grown(self.size, at + len(new))
+            first = len(self.known)
+            self.start, self.size = _grown(self.start, first + len(new)), _grown(self.size, first + len(new))
             self.pool = _grown(self.pool, self.used + len(flat))
-            rows[new] = at + np.arange(len(new))
+            rows[new] = first + np.arange(len(new))
             self.start[rows[new]] = self.used + np.cumsum(size) - size
             self.size[rows[new]] = size
             self.pool[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
-            self.known.update(zip(hashes[new].tolist(), rows[new].tolist()))
+            self.known = np.insert(self.known, at[new], hashes[new])
+            self.row = np.insert(self.row, at[new], rows[new].astype(np.int32))
         return rows
 
     def ids(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words of these rows, one after another, and the number of each word."""
-        size = self.size[row]
+        size = self.size[row].astype(np.int64)
         return self.pool[ragged(self.start[row], size)], size
 
 
-_MISSING = repeat(-1)
-
-
 def _grown(array: np.ndarray, n: int) -> np.ndarray:
     if n <= len(array):
         return array

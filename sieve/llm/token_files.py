@@ -2,14 +2,14 @@
 
 A shard holds the documents of a range of keys in ascending order.  Its file is, all little-endian:
 
-* 8 uint64: magic, documents, distinct keys, ids, levels, words of bits, 0, 0
+* 8 uint64: magic, documents, distinct keys, ids, levels, words of bits, bytes of an id (2 or 4), 0
 * uint64[levels]: positions of each level of the hash
 * uint64[words]: the levels' bits, one after another
 * uint32[keys]: fingerprint of each key, by hash value
 * uint32[keys]: the first document of each key, by hash value
 * uint64[documents + 1]: where each document's ids start
 * uint64[documents] and uint8[documents]: keys as 64-bit patterns, and 1 for a null key
-* uint32[ids]: the payload
+* uint16[ids] or uint32[ids]: the payload, of two bytes an id if the vocabulary has at most 2**16
 
 The hash is built level by level: a key goes to a position of the level, positions with one key are
 kept, and the others' keys go to the next level; the rank of a key's bit is its value.  A lookup tests one bit
@@ -25,6 +25,7 @@ gives an empty table; tokenisers of up to 2**32 ids.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 
@@ -32,7 +33,8 @@ import numpy as np
 import pyarrow as pa
 
 from ._jobs import materialise, shared_folder
-from ._text import SPACE_WORD, Prefix, WordCache, blocks, gather, mix, words
+from ._text import BLOCK, SPACE_WORD, Prefix, WordCache, blocks, gather, mix, ragged, words
+from .bpe import LETTER, NUMBER, char_classes
 
 MAGIC = 0x3153444954564953
 SHARD_BYTES = 12 << 20  # bytes of text for each shard
@@ -97,8 +99,8 @@ def _hashed(pattern: np.ndarray, null: np.ndarray) -> np.ndarray:
     return np.where(null, U64(0xA5A5A5A55A5A5A5B), mix(pattern + U64(1)))
 
 
-def pack(keys: list, payloads: list[np.ndarray]) -> bytes:
-    """File image of documents given in their order."""
+def pack(keys: list, payloads: list[np.ndarray], width: int = 4) -> bytes:
+    """File image of documents given in their order; ``width``: bytes of an id."""
     pattern, null = _patterns(keys)
     hashed = _hashed(pattern, null)
     distinct, first = np.unique(hashed, return_index=True)
@@ -108,8 +110,8 @@ def pack(keys: list, payloads: list[np.ndarray]) -> bytes:
     prints[value], slots[value] = _fingerprint(distinct), first
     start = np.concatenate([[0], np.cumsum([len(p) for p in payloads])]).astype(U64)
     packed = np.packbits(bits, bitorder="little")
-    head = np.array([MAGIC, len(keys), len(distinct), int(start[-1]), len(sizes), len(packed) // 8, 0, 0], U64)
-    body = np.concatenate(payloads).astype("<u4") if payloads else np.zeros(0, "<u4")
+    head = np.array([MAGIC, len(keys), len(distinct), int(start[-1]), len(sizes), len(packed) // 8, width, 0], U64)
+    body = np.concatenate([np.zeros(0, np.uint32), *payloads]).astype(f"<u{width}")
     return b"".join(x.tobytes() for x in (head, np.array(sizes, U64), packed, prints, slots, start, pattern, null.astype(np.uint8), body))
 
 
@@ -120,7 +122,7 @@ class Shard:
         head = np.frombuffer(image, U64, 8)
         if int(head[0]) != MAGIC:
             raise ValueError("not a token-id file")
-        n, k, ids, levels, w = (int(x) for x in head[1:6])
+        n, k, ids, levels, w, width = (int(x) for x in head[1:7])
         at = 64
 
         def take(kind, count):
@@ -134,7 +136,7 @@ class Shard:
         self.prints, self.slots = take(np.uint32, k), take(np.uint32, k)
         self.start = take(U64, n + 1).astype(np.int64)
         self.pattern, self.null = take(U64, n), take(np.uint8, n).astype(bool)
-        self.payload = take("<u4", ids)
+        self.payload = take(f"<u{width}", ids)
 
     def find(self, keys: list) -> np.ndarray:
         """The first document of each key, -1 if it isn't here."""
@@ -149,7 +151,7 @@ class Shard:
         return np.where(same, slot, -1)
 
     def ids(self, document: int) -> np.ndarray:
-        return self.payload[self.start[document] : self.start[document + 1]]
+        return self.payload[self.start[document] : self.start[document + 1]].astype("<u4")
 
 
 # ---- encoding --------------------------------------------------------------------------------
@@ -158,34 +160,81 @@ class Shard:
 class WordEncoder:
     """The tokenizers library, run on each distinct word between ASCII white space and remembered.
 
-    For a model whose pre-tokens hold no white space, a text's ids are its words' ids one after another.
+    For a model whose pre-tokens hold no white space, a text's ids are its words' ids one after another.  Distinct words
+    go to the library many at a time.  Words of letters, ASCII digits and ASCII signs (without apostrophes and ``<``) have a known
+    number of pre-tokens, each of which ends with a token that ends a word: they are joined by spaces and cut apart at
+    those.  Other words are encoded one by one.
     """
 
+    TOGETHER = 2000
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part; threads of the library cost memory
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        probe = ["a b", "a  b\n\tc. d'e", " a "]
-        for text in probe:
+        for text in ("a b", "a  b\n\tc. d'e", " a ", "x1 22 ,.;é <|endoftext|>z"):
             whole = self.model.encode(text, add_special_tokens=False).ids
             if whole != [i for w in text.split() for i in self.model.encode(w, add_special_tokens=False).ids]:
                 raise ValueError("this model's tokens depend on the white space around words")
-        self.cache = WordCache()
-
-    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))
-        return flat, size
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        names = self.model.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for t, i in names.items() if t.endswith(suffix)]] = True
+        self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4  # bytes of an id
+        self.cache = WordCache(800_000)
+
+    def pretokens(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Pre-tokens of each word, 0 where that isn't plain: runs of letters or of signs, and single digits."""
+        at, c = char_classes(data)
+        byte = data[at]
+        odd = (byte == 39) | (byte == 60) | ((byte >= 0x80) & (c != LETTER))
+        opens = np.ones(len(at), bool)
+        opens[1:] = (c[1:] != c[:-1]) | (c[1:] == NUMBER)
+        a, b = np.searchsorted(at, start), np.searchsorted(at, end)
+        opens[a] = True
+        runs, strange = (np.concatenate([[0], np.cumsum(x)]) for x in (opens, odd))
+        return np.where(strange[b] > strange[a], 0, runs[b] - runs[a])
+
+    def _apart(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for i in range(0, len(texts), self.TOGETHER) for e in self.model.encode_batch_fast(texts[i : i + self.TOGETHER], add_special_tokens=False)]
+
+    def _words(self, texts: list[str], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, flat, and how many each has; count: their pre-tokens, 0 if unknown."""
+        size = np.zeros(len(texts), np.int64)
+        parts, done = [], []  # ids, and the words they belong to
+        plain = np.flatnonzero((count > 0) & self.ends.any())
+        rest = [np.flatnonzero((count == 0) | (not self.ends.any()))]
+        for i in range(0, len(plain), self.TOGETHER):
+            own = plain[i : i + self.TOGETHER]
+            ids = np.array(self.model.encode_batch_fast([" ".join([texts[j] for j in own])], add_special_tokens=False)[0].ids, np.int32)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != count[own].sum() or cut[-1] != len(ids):
+                rest.append(own)  # not as expected: these go one by one
+                continue
+            size[own] = np.diff(cut[np.cumsum(count[own]) - 1], prepend=0)
+            parts.append(ids)
+            done.append(own)
+        rest = np.concatenate(rest)
+        for j, x in zip(rest.tolist(), self._apart([texts[j] for j in rest])):
+            size[j] = len(x)
+            parts.append(np.array(x, np.int32))
+        done = np.concatenate([*done, rest])
+        flat = np.concatenate([np.zeros(0, np.int32), *parts])
+        where = np.empty(len(texts), np.int64)  # start of each word in flat
+        where[done] = np.cumsum(size[done]) - size[done]
+        return flat[ragged(where, size)], size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of texts, and how many each text has."""
         start, end, first = words(data, offsets, SPACE_WORD)
         unique, index, inverse = np.unique(Prefix(data).hash(start, end), return_index=True, return_inverse=True)
-        s, z = start[index], (end - start)[index]
-        rows = self.cache.rows(unique, lambda new: self._words(gather(data, s[new], z[new]).to_pylist()))
+        s, e = start[index], end[index]
+        count = self.pretokens(data, s, e)
+        rows = self.cache.rows(unique, lambda new: self._words(gather(data, s[new], (e - s)[new]).to_pylist(), count[new]))
         ids, size = self.cache.ids(rows[inverse])
         total = np.concatenate([[0], np.cumsum(size)])
         return ids, np.diff(total[first])
@@ -231,12 +280,12 @@ def write_token_files(df, path: str, folder: str, end_id: int | None = 1, id_col
     def tokens(batches):
         encoder = _encoder(path)
         for batch in batches:
-            for block, data, offsets in blocks(batch, "text"):
+            for block, data, offsets in blocks(batch, "text", BLOCK // 2):
                 ids, n = encoder.encode(data, offsets)
                 keys = block.column(0)
                 at = np.searchsorted(shared.value, np.array(keys.fill_null(-(1 << 63))).astype(np.int64), "right").astype(np.int32)
                 edge = np.concatenate([[0], np.cumsum(n)])
-                raw = ids.astype("<u2" if encoder.model.get_vocab_size() <= 65536 else "<u4")
+                raw = ids.astype(f"<u{encoder.width}")
                 offs = (edge * raw.itemsize).astype(np.int64)
                 payload = pa.LargeBinaryArray.from_buffers(pa.large_binary(), block.num_rows, [None, pa.py_buffer(offs), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([pa.array(at), keys, payload.cast(pa.binary())], names=["shard", "id", "payload"])
@@ -245,12 +294,12 @@ def write_token_files(df, path: str, folder: str, end_id: int | None = 1, id_col
     dealt = encoded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "payload")
 
     def write(batches):
-        width = "<u2" if _encoder(path).model.get_vocab_size() <= 65536 else "<u4"
+        width = _encoder(path).width
         end = np.array([] if end_id is None else [end_id], np.uint32)
         own, keys, payloads = None, [], []
 
         def flush():
-            _put(folder, f"shard-{own:08d}.tok", pack(keys, payloads))
+            _put(folder, f"shard-{own:08d}.tok", pack(keys, payloads, width))
             return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([sum(map(len, payloads))], pa.int64())], names=["shard", "documents", "ids"])
 
         for batch in batches:
@@ -260,7 +309,7 @@ def write_token_files(df, path: str, folder: str, end_id: int | None = 1, id_col
                         yield flush()
                     own, keys, payloads = shard, [], []
                 keys.append(key)
-                payloads.append(np.concatenate([np.frombuffer(raw, width).astype(np.uint32), end]))
+                payloads.append(np.concatenate([np.frombuffer(raw, f"<u{width}").astype(np.uint32), end]))
         if keys:
             yield flush()
 
