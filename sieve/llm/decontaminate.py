@@ -7,10 +7,9 @@ occurrence of a window is hit.
 
 The windows form a hash set that is broadcast: 8 bytes of hash, an item list and the words
 of each window, for verification.  Its size is measured first; beyond
-``MAX_BROADCAST`` bytes the windows meet the documents by a shuffle on the hash
-instead (only windows all of whose words are benchmark words are sent).
+``MAX_BROADCAST`` bytes the windows of benchmark and documents meet by a shuffle on 128-bit hashes instead.
 
-Documents are scanned in blocks: word hashes are found in the benchmark's vocabulary, runs of known
+With a broadcast set, documents are scanned in blocks: word hashes are found in the benchmark's vocabulary, runs of known
 words are hashed window by window, and every hash that is found is verified word id by word id,
 so hash collisions can't give a hit.
 
@@ -25,10 +24,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from ._text import ALNUM_WORD, LOWER, Prefix, blocks, column_bytes, gather, kind, per_doc, window_hash, words
+from ._jobs import unique_keys
+from ._text import ALNUM_WORD, BLOCK, LOWER, Prefix, blocks, column_bytes, gather, kind, mix, per_doc, window_hash, words
 
 SIZE = 10
 MAX_BROADCAST = 256 << 20
+_OTHER = np.uint64(0x6A09E667F3BCC909)  # makes the second of two hashes
 
 
 class Windows:
@@ -104,60 +105,129 @@ class Windows:
         return all(low[start[at + i] : end[at + i]].tobytes() == self.strings[int(h[i])].as_buffer().to_pybytes() for i in range(n))
 
 
-def windows(benchmark, id_col: str = "item_id", text_col: str = "text", size: int = SIZE, limit: int = MAX_BROADCAST) -> Windows:
-    """The windows of a benchmark table whose text is at most ``limit`` bytes, else ValueError."""
+def _window_rows(lengths: list[int] | None, size: int):
+    """Rows (key, n, at, h1, h2) of all windows of texts: of the given lengths, or each text's own (``size``, or all its words if fewer)."""
+
+    def run(batches):
+        for batch in batches:
+            for block, data, offsets in blocks(batch, "text", BLOCK // 4):
+                low = LOWER[data]
+                start, end, first = words(low, offsets, ALNUM_WORD)
+                h = Prefix(low).hash(start, end)
+                count = np.diff(first)
+                doc = np.repeat(np.arange(len(count)), count)
+                for n in lengths or range(1, size + 1):
+                    if len(h) < n:
+                        continue
+                    one, two = window_hash(h, n), window_hash(mix(h ^ _OTHER), n)
+                    at = np.flatnonzero(doc[n - 1 :] == doc[: len(doc) - n + 1])
+                    if lengths is None and n < size:
+                        at = at[count[doc[at]] == n]
+                    keys = block.column(0).take(pa.array(doc[at]))
+                    place = at - first[doc[at]]
+                    columns = [keys, pa.array(np.full(len(at), n)), pa.array(place), pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "at", "h1", "h2"])
+
+    return run
+
+
+def _hits_by_shuffle(texts, benchmark, item_col: str, text_col: str, size: int):
+    """(key, hits, items): hit words of the texts (key, text) and the items, with windows dealt by 128-bit hashes."""
     from pyspark.sql import functions as F
 
-    n = benchmark.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    if n * 16 > limit:  # a word of text takes under 16 bytes a byte as windows
-        raise ValueError(f"{n} bytes of benchmark text are too many to broadcast; split the benchmark and union the hits")
-    table = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null").toArrow()
-    return Windows(table.column(0).to_pylist(), table.column(1), size)
+    ddl = "key {}, n long, at long, h1 long, h2 long"
+    items = benchmark.select(F.col(item_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text")).where("key is not null")
+    grams = items.mapInArrow(_window_rows(None, size), ddl.format("string")).select(F.col("key").alias("item"), "n", "h1", "h2").distinct()
+    lengths = sorted(r["n"] for r in grams.select("n").distinct().collect())  # at most ``size`` numbers
+    spots = texts.mapInArrow(_window_rows(lengths or [size], size), ddl.format("long"))
+    found = spots.join(grams, ["n", "h1", "h2"])
+    hits = found.select("key", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("w")).distinct().groupBy("key").agg(F.collect_list("w").alias("hits"))
+    names = found.select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    return hits.join(names, "key")
+
+
+def _marked(docs, benchmark, id_col: str, text_col: str, item_col: str, item_text_col: str, size: int, limit: int):
+    """(docs, marks): marks(block, data, offsets) gives (starts, ends, first, hit mask, sorted item lists) of a block of docs.
+
+    A benchmark of up to ``limit`` bytes as windows is broadcast; a larger one meets the windows of the documents by a shuffle, and
+    docs carry the hits in two more columns at the end.
+    """
+    from pyspark.sql import functions as F
+
+    n = benchmark.agg(F.sum(F.octet_length(F.col(item_text_col).cast("string")))).first()[0] or 0
+    if n * 16 <= limit:  # a byte of text takes under 16 bytes as windows
+        table = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(Windows(table.column(0).to_pylist(), table.column(1), size))
+
+        def marks(block, data, offsets):
+            w = shared.value
+            start, end, first, hit, pairs = w.scan(data, offsets)
+            lists = [[] for _ in range(block.num_rows)]
+            for d, i in pairs.tolist():
+                lists[d].append(w.ids[i])
+            return start, end, first, hit, [sorted(x) for x in lists]
 
+        return docs, marks
 
-def contamination(docs, benchmark, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE):
-    """Per document: id, n_words, n_hit, items (sorted strings), n_items, spans (character offsets are left to ``remove_spans``), contaminated."""
-    from ._text import map_text
+    keyed = unique_keys(docs, id_col, text_col, "__row_key")
+    found = _hits_by_shuffle(keyed.select(F.col("__row_key").alias("key"), F.col(text_col).alias("text")), benchmark, item_col, item_text_col, size)
+    joined = keyed.join(found.select(F.col("key").alias("__row_key"), F.col("hits").alias("__hits"), F.col("items").alias("__items")), "__row_key", "left")
 
-    shared = docs.sparkSession.sparkContext.broadcast(windows(benchmark, item_col, item_text_col, size))
+    def carried(block, data, offsets):
+        start, end, first = words(LOWER[data], offsets, ALNUM_WORD)
+        hit = np.zeros(len(start), bool)
+        for d, own in enumerate(block.column(block.num_columns - 2).to_pylist()):
+            if own:
+                hit[first[d] + np.array(own)] = True
+        return start, end, first, hit, [x or [] for x in block.column(block.num_columns - 1).to_pylist()]
+
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__hits", "__items"), carried
+
+
+def contamination(docs, benchmark, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, limit: int = MAX_BROADCAST):
+    """Per document: id, n_words, n_hit, n_items, items (sorted strings), items_sha256, contaminated."""
+    from pyspark.sql import functions as F
 
-    def kernel(block, data, offsets):
-        w = shared.value
-        _, _, first, hit, pairs = w.scan(data, offsets)
-        n_hit = per_doc(hit, first)
-        lists = [[] for _ in range(len(first) - 1)]
-        for d, i in pairs.tolist():
-            lists[d].append(w.ids[i])
-        lists = [sorted(x) for x in lists]
-        sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]
-        return [pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, pa.list_(pa.string())), pa.array(sha), pa.array(n_hit > 0)]
+    schema = f"`{id_col}` {kind(docs, id_col)}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
+    names = [id_col, "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"]
+    rows, marks = _marked(docs.select(F.col(id_col), F.col(text_col)), benchmark, id_col, text_col, item_col, item_text_col, size, limit)
+
+    def run(batches):
+        for batch in batches:
+            for block, data, offsets in blocks(batch, text_col):
+                _, _, first, hit, lists = marks(block, data, offsets)
+                n_hit = per_doc(hit, first)
+                sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]
+                columns = [pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, pa.list_(pa.string())), pa.array(sha), pa.array(n_hit > 0)]
+                yield pa.RecordBatch.from_arrays([block.column(0), *columns], names=names)
 
-    ddl = f"`{id_col}` {kind(docs, id_col)}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
-    return map_text(docs, text_col, kernel, ddl, [id_col])
+    return rows.mapInArrow(run, schema)
 
 
-def drop_contaminated(docs, benchmark, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE):
+def drop_contaminated(docs, benchmark, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, limit: int = MAX_BROADCAST):
     """The documents without a hit, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows(benchmark, item_col, item_text_col, size))
+    rows, marks = _marked(docs, benchmark, id_col, text_col, item_col, item_text_col, size, limit)
+    schema, width = docs.schema, len(docs.columns)
 
     def run(batches):
         for batch in batches:
             for block, data, offsets in blocks(batch, text_col):
-                _, _, first, hit, _ = shared.value.scan(data, offsets)
-                yield block.filter(pa.array(per_doc(hit, first) == 0))
+                _, _, first, hit, _ = marks(block, data, offsets)
+                yield block.select(range(width)).filter(pa.array(per_doc(hit, first) == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, schema)
 
 
-def remove_spans(docs, benchmark, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE):
+def remove_spans(docs, benchmark, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, limit: int = MAX_BROADCAST):
     """All documents; each run of hit words goes, from its first byte to its last, and the rest stays as it is."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows(benchmark, item_col, item_text_col, size))
+    rows, marks = _marked(docs, benchmark, id_col, text_col, item_col, item_text_col, size, limit)
+    schema, width = docs.schema, len(docs.columns)
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for block, data, offsets in blocks(batch, text_col):
-                start, end, first, hit, _ = shared.value.scan(data, offsets)
+                start, end, first, hit, _ = marks(block, data, offsets)
                 doc = np.repeat(np.arange(block.num_rows), np.diff(first))
                 cut = np.zeros(len(data) + 1, np.int64)
                 np.add.at(cut, start[hit], 1)
@@ -166,11 +236,9 @@ def remove_spans(docs, benchmark, text_col: str = "text", item_col: str = "item_
                 np.add.at(cut, end[joined], 1)
                 np.add.at(cut, start[joined + 1], -1)
                 gone = np.cumsum(cut)[:-1] > 0
-                size_left = per_doc(~gone, offsets)
-                left = np.zeros(len(size_left) + 1, np.int64)
-                np.cumsum(size_left, out=left[1:])
+                left = np.concatenate([[0], np.cumsum(per_doc(~gone, offsets))]).astype(np.int64)
                 text = pa.LargeStringArray.from_buffers(block.num_rows, pa.py_buffer(left), pa.py_buffer(np.ascontiguousarray(data[~gone])))
                 text = pa.compute.if_else(block.column(at).is_null(), pa.scalar(None, pa.large_string()), text)
-                yield block.set_column(at, batch.schema.field(at), text.cast(batch.schema.field(at).type))
+                yield block.select(range(width)).set_column(at, batch.schema.field(at), text.cast(batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, schema)

@@ -195,7 +195,8 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(names)
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("limit", [1 << 20, 0])  # broadcast, and dealt by hash
+def test_contamination(spark, limit):
     r = random.Random(3)
     vocab = ["Alpha", "beta", "the", "of", "ñandú", "x1", "中", "Z"]
     items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([0, 1, 3, 9, 10, 11, 25])))) for i in range(12)] + [(12, None), (13, ""), (14, "only once here")]
@@ -204,20 +205,20 @@ def test_contamination(spark):
         texts.append("noise " * k + (items[k % 12][1] or "") + " tail")
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, items string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for out in decontaminate.contamination(docs, bench).collect():
+    for out in decontaminate.contamination(docs, bench, limit=limit).collect():
         n, hit, names = brute_hits(texts[out.doc_id], items)
         assert (out.n_words, out.n_hit, out["items"], out.contaminated) == (n, hit, names, hit > 0), texts[out.doc_id]
         assert out.items_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
-    clean = {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()}
+    clean = {r.doc_id for r in decontaminate.drop_contaminated(docs, bench, limit=limit).collect()}
     assert clean == {i for i, t in enumerate(texts) if not brute_hits(t, items)[1]}
-    cut = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, bench).collect()}
+    cut = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, bench, limit=limit).collect()}
     assert len(cut) == len(texts) and cut[0] is None
     for i, t in enumerate(texts):
         n, hit, _ = brute_hits(t, items)
         assert brute_hits(cut[i], [])[0] == n - hit
         if not hit:
             assert cut[i] == t
-    assert decontaminate.contamination(docs, bench.where("false")).where("contaminated").count() == 0
+    assert decontaminate.contamination(docs, bench.where("false"), limit=limit).where("contaminated").count() == 0
 
 
 def test_url_filter(spark):
