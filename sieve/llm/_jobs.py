@@ -38,7 +38,7 @@ def small_batches(spark, rows: int = 256):
         spark.conf.set(name, before)
 
 
-def unique_keys(df, id_col: str, text_col: str, key: str = "_key"):
+def unique_keys(df, id_col: str, text_col: str, key: str):
     """The rows with a column ``key`` of distinct non-null longs in the order of (id, text); the id itself where it serves.
 
     Null ids come last.  Other ids than distinct integers get the row's place in that order, from a written table.

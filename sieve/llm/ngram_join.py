@@ -606,30 +606,30 @@ def ngram_components(df, id_col: str = "doc_id", text_col: str = "text", size: i
     """Per row: id, n_shingles, class_id (least id with the same set), component_id (least id reachable by links)."""
     from pyspark.sql import functions as F
 
-    rows = _components(df, id_col, text_col, size, percent)
+    rows = _components(df.select(F.col(id_col), F.col(text_col)), id_col, text_col, size, percent)
     if df.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte"):
-        direct = rows.agg(F.sum(F.when(F.col("_k") == F.col("_id"), 0).otherwise(1)).alias("x")).first()["x"]
+        direct = rows.agg(F.sum(F.when(F.col("__row_key") == F.col("__row_id"), 0).otherwise(1)).alias("x")).first()["x"]
         if not direct:
             t = df.schema[id_col].dataType
-            return rows.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("class").cast(t).alias("class_id"), F.col("component").cast(t).alias("component_id"))
-    names = rows.groupBy("component").agg(F.min("_id").alias("component_id"))
-    classes = rows.groupBy("class").agg(F.min("_id").alias("class_id"))
-    return rows.join(names, "component").join(classes, "class").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
+            return rows.select(F.col("__row_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("class").cast(t).alias("class_id"), F.col("component").cast(t).alias("component_id"))
+    names = rows.groupBy("component").agg(F.min("__row_id").alias("component_id"))
+    classes = rows.groupBy("class").agg(F.min("__row_id").alias("class_id"))
+    return rows.join(names, "component").join(classes, "class").select(F.col("__row_id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
 def keep_one(df, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT):
     """The rows of one document of each component, the first in the order of ids, with all their columns."""
     rows = _components(df, id_col, text_col, size, percent, columns=True)
-    return rows.where("component = _k").select(*[f"`{c}`" for c in df.columns])
+    return rows.where("__component = __row_key").select(*[f"`{c}`" for c in df.columns])
 
 
 def _components(df, id_col: str, text_col: str, size: int, percent: int, columns: bool = False):
-    """Rows (_k, _id, n, class, component), or with ``columns`` the input's columns and (_k, component)."""
+    """Rows (__row_key, __row_id, n, class, component), or with ``columns`` the input's columns and (__row_key, __component)."""
     from pyspark.sql import functions as F
 
     spark = df.sparkSession
-    keyed = unique_keys(df, id_col, text_col, "_k")
-    texts = keyed.select(F.col("_k").alias("key"), F.col(text_col).alias("text"))
+    keyed = unique_keys(df, id_col, text_col, "__row_key")
+    texts = keyed.select(F.col("__row_key").alias("key"), F.col(text_col).alias("text"))
     scanned = materialise(texts.mapInArrow(_scan_sets(size), "key long, n long, d1 long, d2 long, points binary, chunk binary"), "sets")
     docs = scanned.where("key is not null")
     least = docs.groupBy("d1", "d2", "n").agg(F.min("key").alias("class"))
@@ -660,5 +660,5 @@ def _components(df, id_col: str, text_col: str, size: int, percent: int, columns
     member = members.select("key", "component").join(final, "component").select(F.col("key").alias("class"), "least")
     out = classes.join(member, "class", "left").select("key", "n", "class", F.coalesce("least", "class").alias("component"))
     if columns:
-        return keyed.join(out.select(F.col("key").alias("_k"), "component"), "_k")
-    return keyed.select("_k", F.col(id_col).alias("_id")).join(out.withColumnRenamed("key", "_k"), "_k")
+        return keyed.join(out.select(F.col("key").alias("__row_key"), F.col("component").alias("__component")), "__row_key")
+    return keyed.select("__row_key", F.col(id_col).alias("__row_id")).join(out.withColumnRenamed("key", "__row_key"), "__row_key")

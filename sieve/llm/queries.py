@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from functools import cache
 
 
 def tokenizer(name: str) -> str:

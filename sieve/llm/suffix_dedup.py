@@ -286,12 +286,11 @@ def _ranges(key, start, end):
 
 
 def _with_ranges(df, id_col: str, text_col: str):
-    """The rows with ``_ranges``: array of removed (start << 32 | end), null if none; and the key ``_key``."""
+    """The rows with ``__gone``: array of removed (start << 32 | end), null if none."""
     from pyspark.sql import functions as F
 
-    keyed = unique_keys(df, id_col, text_col)
-    docs = keyed.withColumnRenamed("_key", "_k").where("_k is not null")
-    texts = docs.select(F.col("_k").alias("key"), F.col(text_col).alias("text"))
+    docs = unique_keys(df, id_col, text_col, "__row_key").where("__row_key is not null")
+    texts = docs.select(F.col("__row_key").alias("key"), F.col(text_col).alias("text"))
     rows = texts.mapInArrow(_anchors, "anchor long, context long, key long, place long")
     marks = rows.repartition("anchor").sortWithinPartitions("anchor", "context", "key", "place").mapInArrow(_classify, "key long, start long, end long, anchor long")
     marks = materialise(marks, "marks")
@@ -304,8 +303,8 @@ def _with_ranges(df, id_col: str, text_col: str):
     order = ["single", "anchor", F.when(F.col("single"), F.col("bytes")), "key", "start"]
     factors = pieces.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_factors, "key long, start long, end long")
     gone = marks.where("anchor is null").select("key", "start", "end").unionByName(factors)
-    ranges = gone.groupBy("key").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("_ranges"))
-    return docs.join(ranges.withColumnRenamed("key", "_k"), "_k", "left")
+    ranges = gone.groupBy("key").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("__gone"))
+    return docs.join(ranges.withColumnRenamed("key", "__row_key"), "__row_key", "left")
 
 
 def gone_mask(data: np.ndarray, offsets: np.ndarray, lists: pa.Array) -> np.ndarray:
@@ -321,7 +320,9 @@ def gone_mask(data: np.ndarray, offsets: np.ndarray, lists: pa.Array) -> np.ndar
 
 def removed_bytes(df, id_col: str = "doc_id", text_col: str = "text"):
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes left, concatenated)."""
-    rows = _with_ranges(df, id_col, text_col)
+    from pyspark.sql import functions as F
+
+    rows = _with_ranges(df.select(F.col(id_col), F.col(text_col)), id_col, text_col)
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches):
@@ -337,9 +338,7 @@ def removed_bytes(df, id_col: str = "doc_id", text_col: str = "text"):
                 sha = [hashlib.sha256(kept[s:e]).hexdigest() for s, e in zip(edge, edge[1:])]
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(offsets)), pa.array(removed), pa.array(per_doc(opens, offsets)), pa.array(sha)], names=names)
 
-    from pyspark.sql import functions as F
-
-    picked = rows.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), "_ranges")
+    picked = rows.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), "__gone")
     return picked.mapInArrow(run, f"`{id_col}` {kind(df, id_col)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -348,7 +347,7 @@ def remove_repeats(df, id_col: str = "doc_id", text_col: str = "text", chars_col
 
     A character stays whole if any of its bytes does.  ``chars_col``, where the table has it, follows the text.
     """
-    rows = _with_ranges(df, id_col, text_col).select(*[f"`{c}`" for c in df.columns], "_ranges")
+    rows = _with_ranges(df, id_col, text_col).select(*[f"`{c}`" for c in df.columns], "__gone")
     names, schema = df.columns, df.schema
     at = names.index(text_col)
     count = names.index(chars_col) if chars_col in names else None

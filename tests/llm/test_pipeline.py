@@ -85,7 +85,7 @@ def test_stages_keep_the_columns(spark, k, tmp_path):
 
     texts, items = corpus()
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.createDataFrame([(i, t, None, "s", len(t or ""), "own") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, key string")
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or ""), "own", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, key string, _key int, component int")
     out = corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path))
     assert out.dtypes == docs.dtypes
     assert all(r.n_chars == len(r.text or "") for r in out.collect())
