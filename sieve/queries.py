@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .functions import responses, vectors
@@ -199,7 +201,7 @@ def _el2n_sql() -> str:
     for t in range(1, 5):
         nb = _NB.format(train=f"tr{t}", src="labelled")
         for name in ("tok", "nb", "sums", "prior", "own", "llr", "prob"):
-            nb = __import__("re").sub(rf"\b{name}\b", f"{name}{t}", nb)
+            nb = re.sub(rf"\b{name}\b", f"{name}{t}", nb)
         parts.append(f"tr{t} as (select * from marked where fold < {t}),{nb}")
         names.append(f"select id, sqrt(2) * abs(label - p1) e from prob{t} join labelled using (id)")
     fold = f"cast(floor(cast(('0x' || substr({_KEY}, 1, 8)) as bigint) / 1073741824.0) as int)"
