@@ -32,7 +32,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from ._jobs import materialise, shared_folder
+from ._jobs import materialise, shared_folder, small_batches
 from ._text import BLOCK, SPACE_WORD, Prefix, WordCache, blocks, gather, mix, ragged, words
 from .bpe import LETTER, NUMBER, char_classes
 
@@ -313,7 +313,8 @@ def write_token_files(df, path: str, folder: str, end_id: int | None = 1, id_col
         if keys:
             yield flush()
 
-    return materialise(dealt.mapInArrow(write, "shard int, documents long, ids long"), "shards")
+    with small_batches(df.sparkSession, 2000):
+        return materialise(dealt.mapInArrow(write, "shard int, documents long, ids long"), "shards")
 
 
 def read_token_files(spark, folder: str, id_col: str = "doc_id"):
