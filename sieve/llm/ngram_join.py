@@ -203,11 +203,17 @@ def frequent_groups(sums: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(size: int, percent: int, frequent):
-    """Rows (key, n, prefix): the first shingles in the order (frequent group, hash), for one document of each set in a batch."""
+    """Rows (key, n, prefix): the first shingles in the order (frequent group, hash), for the document of the least key of each set in a batch.
+
+    The least key of all copies of a set is the least in its batch as well, so the document that stands for the set is never left out.
+    """
 
     def run(batches):
         often = frequent.value
         for batch in batches:
+            order = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")
+            if (np.diff(order) < 0).any():
+                batch = batch.take(pa.array(order))
             seen = set()
             for block, data, offsets in blocks(batch, "text"):
                 keys, n, blobs = [], [], []

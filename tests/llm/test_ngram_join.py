@@ -68,6 +68,18 @@ def test_components(spark, seed, size, percent, part, monkeypatch):
     assert kept == {i for i, (_, c) in enumerate(want) if c == i}
 
 
+def test_copies_in_descending_order_in_files_of_different_sizes(spark, tmp_path):
+    texts = sample(6, 6) * 3
+    rows = [(i, t) for i, t in enumerate(texts)][::-1]
+    for a, b in ((0, 7), (7, len(rows) // 2), (len(rows) // 2, len(rows))):
+        spark.createDataFrame(rows[a:b], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    want = brute(texts, 5, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert {r.doc_id for r in ngram_join.keep_one(df).collect()} == {i for i, (_, c) in enumerate(want) if c == i}
+
+
 def test_null_and_repeated_ids(spark):
     texts = sample(5, 5)
     ids = [None if i % 4 == 0 else i // 2 for i in range(len(texts))]
