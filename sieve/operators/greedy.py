@@ -1,9 +1,9 @@
 """Greedy coverage: choices that depend on all earlier ones.
 
-Up to ``EXACT`` numbers (rows times dimensions) one Arrow kernel on an executor makes the exact choice.  Beyond that k-center takes
-the best of each part and then of their union (a composable coreset: within a constant factor of the best radius), and herding
-keeps its residual on the driver and finds each pick by one distributed pass.  Parts are hashes of the id, so results don't depend on how the input is
-laid out.  All arithmetic is in double; ties go to the lowest id.
+Up to ``EXACT`` numbers (rows times dimensions) one Arrow kernel on an executor makes the choice.  Beyond that the same choice comes from
+distributed passes.  k-center's passes give the ``POOL`` rows farthest from the picks so far; as distances only fall, picks are taken from
+these rows as long as the farthest of them ranks before the last one of the pool did, and then the next pass follows.  Herding
+keeps its residual on the driver and finds each pick by one pass.  All arithmetic is in double; ties go to the lowest id.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ..functions.hashing import order_key
 from ..functions.vectors import dot, mean_vector
 
 EXACT = 20_000_000
+POOL = 4096
 
 
 def _matrix(pdf: pd.DataFrame, id_col: str, vec: str) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +71,68 @@ def _in_one(rows: DataFrame, pick, schema: str) -> DataFrame:
     return rows.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(lambda pdf: pick(pdf.drop(columns="_all")), schema)
 
 
+def _distances(x: np.ndarray, center: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - center) ** 2).sum(1))
+
+
+def _farthest(picked: np.ndarray, centers: np.ndarray):
+    """Rows (id, v, near) of each task that are farthest from the centers, the picked rows left out."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def best(ids, x, near):
+        order = np.lexsort((ids, np.where(np.isnan(near), -np.inf, -near)))[:POOL]  # as argmax has it, not-a-number is the greatest
+        return ids[order], x[order], near[order]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            free = ~np.isin(ids, picked)
+            if not free.any():
+                continue
+            ids = ids[free]
+            if len(pc.list_value_length(batch.column(1)).unique()) > 1:
+                raise ValueError("vectors differ in length")
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(free), -1)[free]
+            near = np.full(len(x), np.inf)
+            for c in centers:
+                near = np.minimum(near, _distances(x, c))
+            if held is not None:
+                ids, x, near = (np.concatenate(y) for y in zip(held, (ids, x, near)))
+            held = best(ids, x, near)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(list(held[1]), pa.list_(pa.float64())), pa.array(held[2])], names=["id", "v", "near"])
+
+    return run
+
+
+def _k_center_by_passes(rows: DataFrame, k: int, start_id, seed: int) -> DataFrame:
+    """The picks of ``k_center_picks`` over a table of any size; the driver holds the picks and one pool."""
+    first = rows.where(F.col("id") == F.lit(start_id)).first() if start_id is not None else None
+    first = first or rows.orderBy(order_key(seed, "id"), "id").first()
+    ids, centers, radius = [first["id"]], [np.array(first["v"], np.float64)], [float("inf")]
+    while len(ids) < k:
+        farthest = _farthest(np.array(ids), np.array(centers))
+        pool = rows.select(F.col("id").cast("long"), "v").mapInArrow(farthest, "id long, v array<double>, near double").orderBy(F.desc("near"), "id").limit(POOL).collect()
+        if not pool:
+            break
+        last = (-pool[-1]["near"], pool[-1]["id"])  # no row outside the pool ranks before this one, now or later
+        pool.sort(key=lambda r: r["id"])
+        own, x, near = np.array([r["id"] for r in pool]), np.array([r["v"] for r in pool], np.float64), np.array([r["near"] for r in pool])
+        whole, before = len(pool) < POOL, len(ids)
+        while len(ids) < k:
+            i = int(near.argmax())
+            if near[i] < 0 or not (whole or len(ids) == before or (-near[i], own[i]) <= last):
+                break
+            ids.append(int(own[i]))
+            centers.append(x[i])
+            radius.append(float(near[i]))
+            near = np.where(near < 0, near, np.minimum(near, _distances(x, x[i])))
+            near[i] = -1
+    return rows.sparkSession.createDataFrame(list(zip(ids, range(len(ids)), radius)), "id long, step int, radius double")
+
+
 def k_center(df: DataFrame, k: int, vec: str = "v", id_col: str = "id", start_id=None, seed: int = 42, exact: int = EXACT) -> DataFrame:
     """(id, step, radius): up to k distinct rows, each the farthest from those before."""
     rows = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id is not null and v is not null")
@@ -84,10 +147,7 @@ def k_center(df: DataFrame, k: int, vec: str = "v", id_col: str = "id", start_id
 
     n, d = _size(rows, "v")
     if n * d > exact:
-        parts = -(-n * d // exact)
-        rows = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts))).applyInPandas(pick, schema).select("id", "v")
-        if min(n, parts * k) * d > exact and parts * k < n:
-            return k_center(rows, k, "v", "id", start_id, seed, exact).withColumnRenamed("id", id_col)
+        return _k_center_by_passes(rows, min(k, n), start_id, seed).withColumnRenamed("id", id_col)
     return _in_one(rows, pick, schema).select(F.col("id").alias(id_col), "step", "radius")
 
 

@@ -173,6 +173,18 @@ def test_k_center_in_parts_covers_nearly_as_well(spark):
     assert steps(greedy.k_center(df.repartition(5), 12, start_id=0, exact=300)) == parts
 
 
+@pytest.mark.parametrize("pool", [1, 7, 4096])
+def test_k_center_is_the_same_at_every_size(spark, pool, monkeypatch):
+    monkeypatch.setattr(greedy, "POOL", pool)
+    x = np.random.default_rng(4).integers(0, 4, size=(90, 3)).astype(float)  # many ties and equal rows
+    df = vectors(spark, x).repartition(5)
+    for k, start_id in ((12, 0), (12, None), (12, 1000)):
+        exact = greedy.k_center(df, k, start_id=start_id).orderBy("step").collect()
+        assert greedy.k_center(df, k, start_id=start_id, exact=10).orderBy("step").collect() == exact
+    if pool > 1:
+        assert greedy.k_center(df, 100, exact=10).orderBy("step").collect() == greedy.k_center(df, 100).orderBy("step").collect()
+
+
 def test_herding(spark):
     df = vectors(spark, [[1, 0], [0, 1], [1, 1]])
     assert steps(greedy.herding(df, 3)) == [2, 0, 1]
