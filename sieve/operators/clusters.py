@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from .selectors import random
 
 
-def with_clusters(df: DataFrame, n_clusters: int = 128, vec: str = "v", id_col: str = "id", max_points: int = 50_000, seed: int = 42) -> DataFrame:
-    """Adds ``cluster``: k-means fitted on at most ``max_points`` random rows (a parameter of the operator), applied to all; one cluster for tables no larger than n_clusters."""
+def with_clusters(df: DataFrame, n_clusters: int = 128, vec: str = "v", id_col: str = "id", max_points: int | None = None, seed: int = 42) -> DataFrame:
+    """Adds ``cluster``: k-means fitted on all rows, or on ``max_points`` random ones where that is given, and applied to all; one cluster for tables no larger than n_clusters."""
     n = df.count()
     if n <= n_clusters:
         return df.withColumn("cluster", F.lit(0))
     points = df.withColumn("_x", array_to_vector(F.col(vec).cast("array<double>")))
-    sample = random(points.select(id_col, "_x"), max_points, id_col, seed) if n > max_points else points
+    sample = random(points.select(id_col, "_x"), max_points, id_col, seed) if max_points is not None and n > max_points else points
     model = KMeans(k=n_clusters, seed=seed, featuresCol="_x", predictionCol="cluster", maxIter=10).fit(sample)
     return model.transform(points).drop("_x")
 

@@ -486,7 +486,7 @@ def sel_kmeans(spark, sf_dir):
 
 @query()
 def sel_hybrid_ml(spark, sf_dir):
-    df = clusters.with_clusters(_hybrid_rows(spark, sf_dir).drop("cluster"), 16)
+    df = clusters.with_clusters(_hybrid_rows(spark, sf_dir).drop("cluster"), 16, max_points=50_000)
     return selectors.select("hybrid_qdi", df, budget(df.count(), 0.1)).select("id", "label", "cluster")
 
 

@@ -178,3 +178,18 @@ def test_models(spark):
         clusters.student(df, judged.where("verdict < 2"))
     assert clusters.projection(df).count() == 60
     assert clusters.embed(texts(spark, *[f"a b{i} c{i % 4}" for i in range(20)]), 2).count() == 20
+
+
+def test_clusters_are_fitted_on_all_rows_unless_bounded(spark, monkeypatch):
+    fitted = []
+
+    class Recorder(clusters.KMeans):
+        def fit(self, rows):
+            fitted.append(rows.count())
+            return super().fit(rows)
+
+    monkeypatch.setattr(clusters, "KMeans", Recorder)
+    df = spark.range(50_500).selectExpr("id", "array(cast(id % 2 as double), 0d) as v")
+    assert clusters.with_clusters(df, 2).count() == 50_500
+    assert clusters.with_clusters(df, 2, max_points=100).count() == 50_500
+    assert fitted == [50_500, 100]
