@@ -13,8 +13,8 @@ With a broadcast set, documents are scanned in blocks: word hashes are found in
 words are hashed window by window, and every hash that is found is verified word id by word id,
 so hash collisions can't give a hit.
 
-Defined cases: null or empty text has no words and no hit; an item without words has no window; an
-empty benchmark hits nothing; equal rows give equal results, one per row.
+Defined cases: null or empty text has no words and no hit; an item without words has no window; items
+with a null id hit words like others and count as one item, which the list of items leaves out; an empty benchmark hits nothing; equal rows give equal results, one per row.
 """
 
 from __future__ import annotations
@@ -32,10 +32,15 @@ MAX_BROADCAST = 256 << 20
 _OTHER = np.uint64(0x6A09E667F3BCC909)  # makes the second of two hashes
 
 
+def _by_name(item: str | None):
+    """Sort key of item ids, null first."""
+    return item is not None, item or ""
+
+
 class Windows:
     """The windows of a benchmark: vocabulary, and per length sorted window hashes with their words and items."""
 
-    def __init__(self, ids: list[str], texts: pa.Array, size: int):
+    def __init__(self, ids: list[str | None], texts: pa.Array, size: int):
         data, offsets = column_bytes(texts)
         data = LOWER[data]
         start, end, first = words(data, offsets, ALNUM_WORD)
@@ -43,7 +48,7 @@ class Windows:
         self.words, index = np.unique(h, return_index=True)
         self.strings = gather(data, start[index], (end - start)[index])
         wid = np.searchsorted(self.words, h)
-        self.ids = sorted(set(ids))
+        self.ids = sorted(set(ids), key=_by_name)
         rank = {x: i for i, x in enumerate(self.ids)}
         found: dict[int, dict[tuple, set]] = {}
         for i, name in enumerate(ids):
@@ -136,18 +141,19 @@ def _hits_by_shuffle(texts, benchmark, item_col: str, text_col: str, size: int):
     from pyspark.sql import functions as F
 
     ddl = "key {}, n long, at long, h1 long, h2 long"
-    items = benchmark.select(F.col(item_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text")).where("key is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text"))
     grams = items.mapInArrow(_window_rows(None, size), ddl.format("string")).select(F.col("key").alias("item"), "n", "h1", "h2").distinct()
     lengths = sorted(r["n"] for r in grams.select("n").distinct().collect())  # at most ``size`` numbers
     spots = texts.mapInArrow(_window_rows(lengths or [size], size), ddl.format("long"))
     found = spots.join(grams, ["n", "h1", "h2"])
     hits = found.select("key", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("w")).distinct().groupBy("key").agg(F.collect_list("w").alias("hits"))
-    names = found.select("key", "item").distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    own = found.select("key", F.struct("item").alias("item")).distinct()  # a list drops nulls, but not rows with a null
+    names = own.groupBy("key").agg(F.sort_array(F.collect_list("item"))["item"].alias("items"))
     return hits.join(names, "key")
 
 
 def _marked(docs, benchmark, id_col: str, text_col: str, item_col: str, item_text_col: str, size: int, limit: int):
-    """(docs, marks): marks(block, data, offsets) gives (starts, ends, first, hit mask, sorted item lists) of a block of docs.
+    """(docs, marks): marks(block, data, offsets) gives (starts, ends, first, hit mask, sorted item lists, null first) of a block of docs.
 
     A benchmark of up to ``limit`` bytes as windows is broadcast; a larger one meets the windows of the documents by a shuffle, and
     docs carry the hits in two more columns at the end.
@@ -156,7 +162,7 @@ def _marked(docs, benchmark, id_col: str, text_col: str, item_col: str, item_tex
 
     n = benchmark.agg(F.sum(F.octet_length(F.col(item_text_col).cast("string")))).first()[0] or 0
     if n * 16 <= limit:  # a byte of text takes under 16 bytes as windows
-        table = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i is not null").toArrow()
+        table = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).toArrow()
         shared = docs.sparkSession.sparkContext.broadcast(Windows(table.column(0).to_pylist(), table.column(1), size))
 
         def marks(block, data, offsets):
@@ -165,7 +171,7 @@ def _marked(docs, benchmark, id_col: str, text_col: str, item_col: str, item_tex
             lists = [[] for _ in range(block.num_rows)]
             for d, i in pairs.tolist():
                 lists[d].append(w.ids[i])
-            return start, end, first, hit, [sorted(x) for x in lists]
+            return start, end, first, hit, [sorted(x, key=_by_name) for x in lists]
 
         return docs, marks
 
@@ -197,8 +203,9 @@ def contamination(docs, benchmark, id_col: str = "doc_id", text_col: str = "text
             for block, data, offsets in blocks(batch, text_col):
                 _, _, first, hit, lists = marks(block, data, offsets)
                 n_hit = per_doc(hit, first)
-                sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]
-                columns = [pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(x) for x in lists], pa.int64()), pa.array(lists, pa.list_(pa.string())), pa.array(sha), pa.array(n_hit > 0)]
+                named = [[i for i in x if i is not None] for x in lists]
+                sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]
+                columns = [pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(x) for x in lists], pa.int64()), pa.array(named, pa.list_(pa.string())), pa.array(sha), pa.array(n_hit > 0)]
                 yield pa.RecordBatch.from_arrays([block.column(0), *columns], names=names)
 
     return rows.mapInArrow(run, schema)

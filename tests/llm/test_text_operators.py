@@ -250,3 +250,13 @@ def test_digest_index_confirms_strings():
     stored = index.string(0)
     assert index.find([stored, b"zz"], same).tolist() == [True, False]
     assert url_filter.DigestIndex(url_filter.build_index([])).find([b"x"]).tolist() == [False]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_contamination_by_items_without_an_id(spark, limit):
+    docs = spark.createDataFrame([(0, "so one two three it is"), (1, "four five, one two three"), (2, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), (None, "One Two"), (7, "four five")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r["items"], r.contaminated) for r in decontaminate.contamination(docs, bench, limit=limit).collect()}
+    assert got == {0: (3, 1, [], True), 1: (5, 2, ["7"], True), 2: (0, 0, [], False)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench, limit=limit).collect()] == [2]
+    assert decontaminate.remove_spans(docs, bench, limit=limit).where("doc_id = 0").first().text == "so  it is"
