@@ -76,8 +76,8 @@ def el2n_scores(df: DataFrame, id_col: str = "id", text_col: str = "text", label
     return df.select(id_col).join(mean, id_col, "left").select(id_col, F.coalesce("el2n", F.lit(0.0)).alias("el2n"))
 
 
-def wordpiece_ratio(df: DataFrame, id_col: str = "id", text_col: str = "text", vocabulary: int = 2000, max_length: int = 512) -> DataFrame:
-    """(id, wp_ratio): pieces with two special tokens, at most ``max_length``, over words; 0 without words.
+def wordpiece_ratio(df: DataFrame, id_col: str = "id", text_col: str = "text", vocabulary: int = 2000, max_length: int | None = 512) -> DataFrame:
+    """(id, wp_ratio): pieces with two special tokens, at most ``max_length`` (None: no cap), over words; 0 without words.
 
     A word among the corpus' ``vocabulary`` commonest ones is one piece, another one has a piece for every four characters.
     """
@@ -85,5 +85,6 @@ def wordpiece_ratio(df: DataFrame, id_col: str = "id", text_col: str = "text", v
     common = own.groupBy("token").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "token").limit(vocabulary).select("token", F.lit(1).alias("_known"))
     pieces = own.join(F.broadcast(common), "token", "left").withColumn("_p", F.when(F.col("_known") == 1, 1).otherwise(F.ceil(F.length("token") / 4)))
     per_row = pieces.groupBy(id_col).agg(F.sum(F.col("c") * F.col("_p")).alias("_pieces"), F.sum("c").alias("_words"))
-    ratio = F.least(F.col("_pieces") + 2, F.lit(max_length)) / F.col("_words")
+    count = F.col("_pieces") + 2
+    ratio = (count if max_length is None else F.least(count, F.lit(max_length))) / F.col("_words")
     return df.select(id_col).join(per_row, id_col, "left").select(id_col, F.coalesce(ratio, F.lit(0.0)).alias("wp_ratio"))

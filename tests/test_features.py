@@ -193,3 +193,9 @@ def test_clusters_are_fitted_on_all_rows_unless_bounded(spark, monkeypatch):
     assert clusters.with_clusters(df, 2).count() == 50_500
     assert clusters.with_clusters(df, 2, max_points=100).count() == 50_500
     assert fitted == [50_500, 100]
+
+
+def test_wordpiece_ratio_without_a_cap(spark):
+    df = texts(spark, "a " * 1000)
+    assert column(scores.wordpiece_ratio(df, vocabulary=1), "wp_ratio")[0] == pytest.approx(0.512)
+    assert column(scores.wordpiece_ratio(df, vocabulary=1, max_length=None), "wp_ratio")[0] == pytest.approx(1.002)
