@@ -91,3 +91,11 @@ def test_choice_never_contradicts():
 
 def test_deep_and_long_pages():
     html_extract.extract(["<div>" * 3000 + "deep" + "</div>" * 10, "<p>" + "x " * 200_000, "<a href='unclosed " + "y" * 10_000, "<" * 20_000], html_extract.model())
+
+
+def test_classifier_learns_from_up_to_6000_rows(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality_classifier, "train", lambda texts, labels: sizes.append(len(labels)))
+    docs = spark.range(10_000).selectExpr("id as doc_id", "'a text' as text", "cast(id % 2 as int) as quality")
+    quality_classifier.fit(docs, docs)
+    assert sizes == [6000]
