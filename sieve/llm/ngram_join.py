@@ -13,14 +13,17 @@ groups of a bounded sketch last, so that passages many documents share hardly me
 1. One scan gives each document's set size and digest, and the sketch.  Equal sets form a class; the least key stands for it.
 2. A second scan gives the prefixes of the classes.  Dealt by shingle, those drop out that no other class shares whose
    size and whose place of the shingle allow a link.
-3. The classes of each shingle meet as points, in a tree (a single leaf if they are few); those without any partner that
+   Shingles with the same classes (long copies share hundreds) count as one group from here on.
+3. The classes of each group meet as points, in a tree (a single leaf if they are few); those without any partner that
    the bound allows drop out.  Groups over ``PART`` are split into pairs of parts, so no task holds an unbounded group.
 4. Every class left joins the partition of its least shared shingle, now with its set.  A tree in each partition finds the
    components there: a search from text to text over those not yet reached.  Partitions over ``PART`` are split.
-5. Where classes of several components still share a prefix shingle, trees over their points find pairs between components:
-   first the pair of the best bound for each two components, then, after these have been verified and merged, every pair.
-   Points of 1,024 groups bound the pairs again before their sets are fetched.
-6. Links between components are joined by label propagation over written tables.
+5. Where classes of several components still share a group, each component sends its pair of the best bound: no more rows than
+   came in.  Points of 1,024 coordinates bound these pairs again, the rest is verified on the sets, and linked components merge.
+6. What is left apart is settled without further rounds.  The wide points bound the pairs between components inside each group;
+   a group with few pairs for its rows sends them for verification, in a denser one the rows in pairs bring their
+   sets, and a search over the group gives links that span it, never all its pairs.
+7. Links between components are joined by label propagation over written tables.
 
 Two texts link when 100 * |A & B| >= percent * |A | B|.  Copies are never expanded into pairs, and pairs inside a
 component found already aren't either, as they change no component.
@@ -33,6 +36,8 @@ ids count as rows of their own; an empty table gives an empty table; other colum
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,11 +49,13 @@ SIZE = 5
 PERCENT = 80
 SKETCH_BITS = 20
 PART = 4096
+PART_SHINGLES = 1 << 22
 GROUPS = 64
 WIDE_BITS = 10
 FANOUT = 32
 BROADCAST_ROWS = 500_000
 NEAR = 64
+FEW = 16
 HELD = 200_000
 U64 = np.uint64
 
@@ -347,18 +354,23 @@ def _part_components(percent: int):
     return run
 
 
+def _point_bound(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Sums of the coordinates' minima of pairs of uint8 points; 255 or more bounds nothing."""
+    least = np.minimum(one, two).astype(np.int32)
+    return least.sum(1) + (least == 255).any(1) * (1 << 40)
+
+
 def _near(group, side, spot, points, percent: int, comp=None):
-    """Index pairs of rows of a group whose sizes, places and points allow a link (and whose components differ).
+    """Index pairs of rows of a group whose sizes, places and points allow a link (and whose components differ), with their bounds.
 
     A group of at most ``FANOUT`` rows is one leaf, and the leaves of all such groups are read together; a larger one gets a tree.
     """
     n, place = spot >> 32, spot & 0xFFFFFFFF
-    points = points.astype(np.int32)
-    points[points == 255] = 1 << 20  # 255 or more bounds nothing
     edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     size = np.diff(edge)
     row_size = np.repeat(size, size)
     one_side = np.repeat(np.minimum.reduceat(side, edge[:-1]) == np.maximum.reduceat(side, edge[:-1]), size)
+    chunk = max(1, (1 << 23) // points.shape[1])
 
     def fits(i, j):
         ok = one_side[i] | (side[i] != side[j])
@@ -369,11 +381,11 @@ def _near(group, side, spot, points, percent: int, comp=None):
         small, great = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         ok = (100 * small >= percent * great) & (n[i] - place[i] >= need) & (n[j] - place[j] >= need)
         i, j, need = i[ok], j[ok], need[ok]
-        bound = np.concatenate([np.zeros(0, np.int64), *(np.minimum(points[i[k : k + 65536]], points[j[k : k + 65536]]).sum(1) for k in range(0, len(i), 65536))])
+        bound = np.concatenate([np.zeros(0, np.int64), *(_point_bound(points[i[k : k + chunk]], points[j[k : k + chunk]]) for k in range(0, len(i), chunk))])
         ok = bound >= need
-        return i[ok], j[ok]
+        return i[ok], j[ok], bound[ok]
 
-    found = []
+    found = [(np.zeros(0, np.int64),) * 3]
     leaf = row_size <= FANOUT
     for step in range(1, FANOUT):
         i = np.flatnonzero((group[step:] == group[:-step]) & leaf[step:])
@@ -382,24 +394,24 @@ def _near(group, side, spot, points, percent: int, comp=None):
         found.append(fits(i, i + step))
     for g in np.flatnonzero(size > FANOUT):
         lo, hi = edge[g], edge[g + 1]
-        tree = CountTree(points[lo:hi], n[lo:hi], percent)
+        own = points[lo:hi].astype(np.int32)
+        own[own == 255] = 1 << 20
+        tree = CountTree(own, n[lo:hi], percent)
         for i in range(lo, hi):
-            near = lo + tree.query(points[i], int(n[i]))
+            near = lo + tree.query(own[i - lo], int(n[i]))
             near = near[near > i]
             if len(near):
                 found.append(fits(np.full(len(near), i), near))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+    return tuple(np.concatenate([x[k] for x in found]) for k in range(3))
 
 
-def _whole_groups(batches):
-    """Batches cut so that no group (the first column, in its order) is divided; as lists of arrays, points as a matrix."""
+def _whole_groups(batches, width: int):
+    """Batches cut so that no group (the first column, in its order) is divided; as lists of arrays, points as a matrix of ``width`` columns."""
 
     def arrays(table):
         out = [table.column(i).to_numpy() for i in range(table.num_columns - 1)]
         raw, _ = column_bytes(table.column(table.num_columns - 1))
-        return [*out, raw.reshape(len(out[0]), GROUPS)]
+        return [*out, raw.reshape(len(out[0]), width)]
 
     held = []
     for batch in batches:
@@ -420,40 +432,105 @@ def _whole_groups(batches):
 
 
 def _survivors(percent: int):
-    """The rows (shingle, key, spot, points) that may link, from rows (group, side, shingle, key, spot, points) in the order (group, spot)."""
+    """The rows (group, key, spot, points) that may link, from rows (group, side, name, key, spot, points) in the order (group, spot)."""
 
     def run(batches):
-        for group, side, shingle, key, spot, points in _whole_groups(batches):
-            rows = np.unique(np.concatenate(_near(group, side, spot, points, percent)))
+        for group, side, name, key, spot, points in _whole_groups(batches, GROUPS):
+            rows = np.unique(np.concatenate(_near(group, side, spot, points, percent)[:2]))
             blob = pa.array([p.tobytes() for p in points[rows]], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(shingle[rows]), pa.array(key[rows]), pa.array(spot[rows]), blob], names=["shingle", "key", "spot", "points"])
+            yield pa.RecordBatch.from_arrays([pa.array(name[rows]), pa.array(key[rows]), pa.array(spot[rows]), blob], names=["shingle", "key", "spot", "points"])
 
     return run
 
 
-def _cross_pairs(percent: int, best: bool):
-    """Pairs (a, b, ca, cb, bound) between components from rows (group, side, key, spot, component, points) in the order (group, spot).
+def _best_partners(percent: int):
+    """For each group and component the pair (a, b, ca, cb, bound) of the best bound with another component.
 
-    side: -1 for a whole group; else the part of a split group, where only rows of different parts, or of the one part, meet.
+    Rows (group, side, key, spot, component, points) in the order (group, spot); side: -1 for a whole group, else the part of
+    a split one, where only rows of different parts, or of the one part, meet.
     """
 
     def run(batches):
-        for group, side, key, spot, comp, points in _whole_groups(batches):
-            i, j = _near(group, side, spot, points, percent, comp)
+        for group, side, key, spot, comp, points in _whole_groups(batches, GROUPS):
+            i, j, bound = _near(group, side, spot, points, percent, comp)
             if not len(i):
                 continue
+            score = np.minimum(bound, 1 << 30) * 1000 // ((spot[i] >> 32) + (spot[j] >> 32))
+            own = np.concatenate([i, j])
+            by = np.lexsort((np.concatenate([key[j], key[i]]), key[own], -np.concatenate([score, score]), comp[own], group[own]))
+            own, at = own[by], by % len(i)
+            first = np.ones(len(own), bool)
+            first[1:] = (group[own[1:]] != group[own[:-1]]) | (comp[own[1:]] != comp[own[:-1]])
+            at = np.unique(at[first])
+            i, j, score = i[at], j[at], score[at]
             swap = comp[i] > comp[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            bound = np.minimum(points[i], points[j]).sum(1, dtype=np.int64) * 1000 // ((spot[i] >> 32) + (spot[j] >> 32))
-            pairs = np.stack([key[i], key[j], comp[i], comp[j], bound], 1)
-            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], -pairs[:, 4], pairs[:, 3], pairs[:, 2]))]
-            by = [2, 3] if best else [0, 1]
-            if not best:
-                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-            first = np.ones(len(pairs), bool)
-            first[1:] = (pairs[1:, by] != pairs[:-1, by]).any(1)
-            pairs = pairs[first]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(5)], names=["a", "b", "ca", "cb", "bound"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[i], key[j], comp[i], comp[j], score)], names=["a", "b", "ca", "cb", "bound"])
+
+    return run
+
+
+def _wide_survivors(percent: int):
+    """What the wide points leave of rows (group, side, key, spot, component, wide) in the order (group, spot).
+
+    A group with at most ``FEW`` pairs for each row sends these pairs (a, ca, b, cb), a denser one its rows that are in pairs (group, side, a, ca).
+    """
+    names = ["group", "side", "a", "ca", "b", "cb"]
+
+    def run(batches):
+        for group, side, key, spot, comp, points in _whole_groups(batches, 1 << WIDE_BITS):
+            i, j, _ = _near(group, side, spot, points, percent, comp)
+            edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            own = np.searchsorted(edge, i, "right") - 1  # group of each pair
+            dense = np.bincount(own, minlength=len(edge) - 1) > FEW * np.diff(edge)
+            rows = np.unique(np.concatenate([i[dense[own]], j[dense[own]]]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[rows]) for x in (group, side, key, comp)), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names=names)
+            i, j = i[~dense[own]], j[~dense[own]]
+            i, j = np.where(key[i] < key[j], i, j), np.where(key[i] < key[j], j, i)
+            pairs = np.unique(np.stack([key[i], comp[i], key[j], comp[j]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int32()), *(pa.array(pairs[:, k]) for k in range(4))], names=names)
+
+    return run
+
+
+def spanning_links(side: np.ndarray, comp: np.ndarray, flat: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (component, component) that join the components of the rows of a group as all links among its rows would.
+
+    Rows whose components have been joined already aren't compared again.
+    """
+    n = len(sizes)
+    start = np.cumsum(sizes) - sizes
+    label = np.unique(comp, return_inverse=True)[1]
+    one_side = side.min() == side.max()
+    groups = 1 << int(np.clip(int(sizes.mean()) // 8, 16, 512)).bit_length()
+    points = count_vectors(flat, sizes, groups)
+    tree = CountTree(points, sizes, percent)
+    out = []
+    for x in range(n):
+        near = tree.query(points[x], int(sizes[x]))
+        near = near[(near > x) & (label[near] != label[x]) & (one_side | (side[near] != side[x]))]
+        if not len(near):
+            continue
+        common = overlaps(flat[start[x] : start[x] + sizes[x]], flat, start[near], sizes[near])
+        for y in near[100 * common >= percent * (sizes[near] + sizes[x] - common)].tolist():
+            if label[y] != label[x]:
+                out.append((int(min(comp[x], comp[y])), int(max(comp[x], comp[y]))))
+                label[label == label[y]] = label[x]
+        if (label == label[0]).all():
+            break
+    return out
+
+
+def _group_links(percent: int):
+    """Spanning links (ca, cb) of rows (group, side, key, component, set) in the order (group, key)."""
+
+    def run(batches):
+        for group in _grouped(batches, 0):
+            raw, offsets = column_bytes(group.column(4))
+            sizes = np.diff(offsets) // 8
+            links = spanning_links(group.column(1).to_numpy(), group.column(3).to_numpy(), np.frombuffer(raw.tobytes(), U64), sizes, percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["ca", "cb"])
 
     return run
 
@@ -465,11 +542,9 @@ def _bounded(percent: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 rows = batch.slice(lo, 2000)
-                one, two = (column_bytes(rows.column(i))[0].reshape(-1, 1 << WIDE_BITS).astype(np.int32) for i in (5, 7))
-                for x in (one, two):
-                    x[x == 255] = 1 << 20  # 255 or more bounds nothing
+                one, two = (column_bytes(rows.column(i))[0].reshape(-1, 1 << WIDE_BITS) for i in (5, 7))
                 n, m = rows.column(4).to_numpy(), rows.column(6).to_numpy()
-                bound = np.minimum(np.minimum(one, two).sum(1), np.minimum(n, m))
+                bound = np.minimum(_point_bound(one, two), np.minimum(n, m))
                 yield rows.select([0, 1, 2, 3]).filter(pa.array(bound >= needed(n, m, percent)))
 
     return run
@@ -543,45 +618,77 @@ def _merge(members, roots):
 
 
 def _dealt(rows, counted, *columns: str):
-    """Rows dealt by shingle as (group, side, ...): a shingle of over ``PART`` rows meets itself as pairs of parts.
+    """Rows dealt by shingle as (group, side, ...): a shingle of over ``PART`` rows, or ``PART_SHINGLES`` of their sets, meets itself as pairs of parts.
 
-    ``counted``: (shingle, rows).  Each row goes to the pairs that hold its part.
+    ``counted``: (shingle, rows, weight).  Each row goes to the pairs that hold its part.
     """
     from pyspark.sql import functions as F
 
     rows = rows.join(counted, "shingle")
-    parts = F.ceil(F.col("rows") / F.lit(PART)).cast("int")
+    parts = F.least("rows", F.greatest(F.ceil(F.col("rows") / F.lit(PART)), F.ceil(F.col("weight") / F.lit(PART_SHINGLES)))).cast("int")
     part = F.pmod(F.xxhash64("key"), parts).cast("int")
-    rows = rows.select("*", F.when(F.col("rows") <= PART, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), parts - 1)).alias("others"), part.alias("own"))
+    rows = rows.select("*", F.when(parts <= 1, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), parts - 1)).alias("others"), part.alias("own"))
     rows = rows.withColumn("other", F.explode("others"))
     side = F.when(F.col("other") < 0, F.lit(-1)).otherwise(F.col("own")).cast("int")
     group = F.when(F.col("other") < 0, F.col("shingle")).otherwise(F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")))
     return rows.select(group.alias("group"), side.alias("side"), *columns).repartition("group").sortWithinPartitions("group", "spot")
 
 
+def _counted():
+    from pyspark.sql import functions as F
+
+    return [F.count("*").alias("rows"), F.sum(F.shiftright("spot", 32)).alias("weight")]
+
+
+def _signed(rows, group: str, *columns: str):
+    """(group, name): name is the same for groups of the same rows, told by their number, least key and 128 bits of sums of hashes of ``columns``."""
+    from pyspark.sql import functions as F
+
+    sums = []
+    for seed in (1, 2):  # halves of 32 bits, whose sums can't overflow
+        h = F.xxhash64(*columns, F.lit(seed))
+        sums += [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"lo{seed}"), F.sum(F.shiftright(h, 32)).alias(f"hi{seed}")]
+    signed = rows.groupBy(group).agg(*sums, F.count("*").alias("rows"), F.min("key").alias("least"))
+    names = [c for c in signed.columns if c != group]
+    return signed.join(signed.groupBy(*names).agg(F.min(group).alias("name")), names).select(group, "name")
+
+
+def _merged_groups(shared):
+    """Rows (shingle, key, spot) of one shingle for all that have the same keys; spot holds the least place.
+
+    Two classes meet in as many shingles as they share, but need to meet only once.
+    """
+    from pyspark.sql import functions as F
+
+    rows = shared.join(_signed(shared, "shingle", "key"), "shingle")
+    return rows.groupBy(F.col("name").alias("shingle"), "key").agg(F.min("spot").alias("spot"))
+
+
 def _candidates(shared, points, percent: int):
     """The rows of ``shared`` that trees over the points leave, with their points, written."""
     from pyspark.sql import functions as F
 
-    counted = shared.groupBy("shingle").agg(F.count("*").alias("rows"))
-    rows = _dealt(shared.join(points, "key"), counted, "shingle", "key", "spot", "points")
+    rows = _dealt(shared.join(points, "key"), shared.groupBy("shingle").agg(*_counted()), "shingle", "key", "spot", "points")
     left = rows.mapInArrow(_survivors(percent), "shingle long, key long, spot long, points binary")
-    return materialise(left.dropDuplicates(["shingle", "key"]), "candidates")
+    return materialise(left.groupBy("shingle", "key").agg(F.min("spot").alias("spot"), F.first("points").alias("points")), "candidates")
+
+
+def _apart(candidates, members, *columns: str):
+    """Candidates in groups of several components, dealt as (group, side, ...)."""
+    from pyspark.sql import functions as F
+
+    rows = candidates.join(members, "key")
+    several = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *_counted()).where("lo <> hi")
+    return _dealt(rows, several.select("shingle", "rows", "weight"), *columns)
 
 
-def _links_between(candidates, members, percent: int, best: bool):
-    """Written links (ca, cb) between components whose members share a prefix shingle."""
+def _best_links(candidates, members, percent: int):
+    """Written links (ca, cb) among the best pairs of components that share a group; None without pairs."""
     from pyspark.sql import functions as F
 
-    rows = candidates.join(members.select("key", "component"), "key")
-    several = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-    dealt = _dealt(rows, several.select("shingle", "rows"), "key", "spot", "component", "points")
-    pairs = dealt.mapInArrow(_cross_pairs(percent, best), "a long, b long, ca long, cb long, bound long")
-    if best:
-        pairs = pairs.groupBy("ca", "cb").agg(F.max(F.struct("bound", "a", "b")).alias("x")).select("x.a", "x.b", "ca", "cb")
-    else:
-        pairs = pairs.select("a", "b", "ca", "cb").distinct()
-    pairs = materialise(pairs, "pairs")
+    dealt = _apart(candidates, members.select("key", "component"), "key", "spot", "component", "points")
+    pairs = dealt.mapInArrow(_best_partners(percent), "a long, b long, ca long, cb long, bound long")
+    pairs = materialise(pairs.groupBy("ca", "cb").agg(F.max(F.struct("bound", "a", "b")).alias("x")).select("x.a", "x.b", "ca", "cb"), "pairs")
     near = _both_sides(pairs, members, ["n", "wide"])
     if near is None:
         return None
@@ -591,6 +698,30 @@ def _links_between(candidates, members, percent: int, best: bool):
         return None if full is None else materialise(full.mapInArrow(_verify(percent), "ca long, cb long").distinct(), "links")
 
 
+def _last_links(candidates, members, percent: int):
+    """Written links (ca, cb) that join all components with linked members; None if none is left to compare."""
+    from pyspark.sql import functions as F
+
+    spark = candidates.sparkSession
+    dealt = _apart(candidates.drop("points"), members.select("key", "component", "wide"), "key", "spot", "component", "wide")
+    with small_batches(spark, 2000):
+        apart = materialise(dealt.mapInArrow(_wide_survivors(percent), "group long, side int, a long, ca long, b long, cb long"), "apart")
+    out = []
+    with small_batches(spark):
+        pairs = materialise(apart.where("b is not null").select("a", "b", "ca", "cb").distinct(), "pairs")
+        full = _both_sides(pairs, members, ["set"])
+        if full is not None:
+            out.append(full.mapInArrow(_verify(percent), "ca long, cb long"))
+        dense = apart.where("b is null").select("group", "side", F.col("a").alias("key"), F.col("ca").alias("component"))
+        own = _signed(dense, "group", "key", "side").where("group = name").select("group")
+        dense = materialise(dense.join(own, "group", "left_semi"), "dense")
+        if n := dense.count():  # members stay where they are if the rows are few enough to broadcast
+            rows = members.select("key", "set").join(F.broadcast(dense) if n <= BROADCAST_ROWS else dense, "key")
+            rows = rows.select("group", "side", "key", "component", "set").repartition("group").sortWithinPartitions("group", "key")
+            out.append(rows.mapInArrow(_group_links(percent), "ca long, cb long"))
+        return materialise(reduce(lambda x, y: x.unionByName(y), out).distinct(), "links") if out else None
+
+
 def _both_sides(pairs, members, columns: list[str]):
     """Pairs (a, b, ca, cb) with columns of both members; None without pairs.  Members stay where they are if the pairs are few enough to broadcast."""
     from pyspark.sql import functions as F
@@ -646,7 +777,7 @@ def _components(df, id_col: str, text_col: str, size: int, percent: int, columns
     exploded = prefixes.mapInArrow(_explode, "shingle long, key long, spot long")
     shared = materialise(exploded.repartition("shingle").sortWithinPartitions("shingle", "spot").mapInArrow(_shared_only(percent), "shingle long, key long, spot long"), "shared")
 
-    candidates = _candidates(shared, docs.select("key", "points"), percent)
+    candidates = _candidates(_merged_groups(shared), docs.select("key", "points"), percent)
 
     home = candidates.groupBy("key").agg(F.min("shingle").alias("home"))
     crowd = home.groupBy("home").agg(F.count("*").alias("rows"))
@@ -657,8 +788,8 @@ def _components(df, id_col: str, text_col: str, size: int, percent: int, columns
     found = sets.repartition("part").sortWithinPartitions("part").mapInArrow(_part_components(percent), "key long, component long, n long, wide binary, set binary")
     with small_batches(spark):
         members = materialise(found, "members")
-    for best in (True, False):
-        links = _links_between(candidates, members, percent, best)
+    for settle in (_best_links, _last_links):
+        links = settle(candidates, members, percent)
         if links is not None and not links.isEmpty():
             members = _merge(members, connected(links))
     # the least key of a component: members' labels are keys of members, joined components take the least label

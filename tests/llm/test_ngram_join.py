@@ -55,9 +55,11 @@ def sample(seed, families=14):
     return texts
 
 
-@pytest.mark.parametrize("seed,size,percent,part", [(1, 4, 85, 4096), (2, 5, 80, 4096), (3, 4, 85, 3), (4, 3, 60, 2)])
-def test_components(spark, seed, size, percent, part, monkeypatch):
+@pytest.mark.parametrize("seed,size,percent,part,few,weight", [(1, 4, 85, 4096, 16, 1 << 22), (2, 5, 80, 4096, -1, 1 << 22), (3, 4, 85, 3, 16, 900), (4, 3, 60, 2, -1, 500)])
+def test_components(spark, seed, size, percent, part, few, weight, monkeypatch):
     monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "FEW", few)  # below 0: every group brings sets
+    monkeypatch.setattr(ngram_join, "PART_SHINGLES", weight)
     texts = sample(seed)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, key string, n int").repartition(6)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df, size=size, percent=percent).collect()}
@@ -80,6 +82,44 @@ def test_copies_in_descending_order_in_files_of_different_sizes(spark, tmp_path)
     assert {r.doc_id for r in ngram_join.keep_one(df).collect()} == {i for i, (_, c) in enumerate(want) if c == i}
 
 
+@pytest.mark.parametrize("ids", ["descending", "shuffled"])
+def test_ids_out_of_order_in_one_partition(spark, ids):
+    texts = sample(8, 6) * 2
+    order = list(range(len(texts)))[::-1]
+    if ids == "shuffled":
+        random.Random(3).shuffle(order)
+    df = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 5, 80)
+
+
+def test_spanning_links_join_what_all_links_join():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, 40).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([base[r.random(40) < 0.93], r.integers(0, 1 << 63, r.integers(0, 5)).astype(np.uint64)])) for _ in range(80)]
+    comp = np.arange(80) // 3
+    links = ngram_join.spanning_links(np.full(80, -1), comp, np.concatenate(sets), np.array([len(s) for s in sets]), 80)
+    assert len(links) < 80
+    root = {c: c for c in comp.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(b)] = find(a)
+    got = {c: find(c) for c in root}
+    root = {c: c for c in root}
+    for i in range(80):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                root[find(int(comp[i]))] = find(int(comp[j]))
+    want = {c: find(c) for c in root}
+    assert {(a, b) for a in got for b in got if got[a] == got[b]} == {(a, b) for a in want for b in want if want[a] == want[b]}
+
+
 def test_null_and_repeated_ids(spark):
     texts = sample(5, 5)
     ids = [None if i % 4 == 0 else i // 2 for i in range(len(texts))]
