@@ -8,8 +8,11 @@ whatever the batch size.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK = 1 << 21
 U64 = np.uint64
@@ -80,7 +83,10 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK):
 
 
 class Prefix:
-    """Polynomial prefix sums: the hash of any byte range in constant time."""
+    """Polynomial prefix sums: the hash of any byte range in constant time.
+
+    Made for windows of a text; crafted ranges of a thousand bytes and more can have one hash, so words go through ``Loads``.
+    """
 
     def __init__(self, data: np.ndarray):
         power, self.inverse = powers(len(data) + 1)
@@ -94,6 +100,77 @@ class Prefix:
         return mix(self.raw(start, end) + (end - start).astype(U64))
 
 
+LONG = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+class Loads:
+    """Loads of up to eight bytes at any places of an array, and hashes and comparisons of byte ranges made of them."""
+
+    def __init__(self, data: np.ndarray):
+        self.bytes = np.zeros((len(data) // 8 + 2) * 8, np.uint8)
+        self.bytes[: len(data)] = data
+        self.words = self.bytes.view("<u8")
+
+    def get(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The bytes from ``at``, at most ``size``, as little-endian numbers."""
+        i, shift = at >> 3, ((at & 7) << 3).astype(U64)
+        value = self.words[i] >> shift | (self.words[i + 1] << (U64(63) - shift)) << U64(1)
+        return value & _MASKS[np.minimum(size, 8)]
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of byte ranges: eight bytes a step, and xxh3 for those over ``LONG``."""
+        size = end - start
+        h = mix(mix(size.astype(U64) + U64(_BASE)) ^ self.get(start, size))
+        rest, step = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(rest):
+            h[rest] = mix(h[rest] * U64(_BASE) ^ self.get(start[rest] + step, size[rest] - step))
+            step += 8
+            rest = rest[size[rest] > step]
+        for i in np.flatnonzero(size > LONG):
+            h[i] = xxhash.xxh3_64_intdigest(self.bytes[start[i] : end[i]])
+        return h
+
+    def equal(self, at: np.ndarray, size: np.ndarray, other: Loads, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether ranges hold the same bytes as ranges of another array."""
+        same = (size == length) & (self.get(at, size) == other.get(place, length))
+        rest, step = np.flatnonzero(same & (size > 8)), 8
+        while len(rest) and step < LONG:
+            same[rest] = self.get(at[rest] + step, size[rest] - step) == other.get(place[rest] + step, size[rest] - step)
+            step += 8
+            rest = rest[same[rest] & (size[rest] > step)]
+        for i in rest:
+            same[i] = np.array_equal(self.bytes[at[i] : at[i] + size[i]], other.bytes[place[i] : place[i] + size[i]])
+        return same
+
+
+class Distinct(NamedTuple):
+    """Distinct byte ranges of a block, ascending by hash; ``entry`` gives each range's."""
+
+    loads: Loads
+    hash: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    entry: np.ndarray
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Distinct:
+    """Ranges of one entry have been compared byte for byte: different ones with one hash have entries of their own."""
+    loads, size = Loads(data), end - start
+    h = loads.hash(start, end)
+    unique, first, entry = np.unique(h, return_index=True, return_inverse=True)
+    same = loads.equal(start, size, loads, start[first][entry], size[first][entry])
+    if not same.all():
+        ordinal = np.zeros(len(h), U64)
+        seen: dict[int, dict[bytes, int]] = {}
+        for i in np.flatnonzero(np.isin(entry, entry[~same])):
+            own = seen.setdefault(int(h[i]), {})
+            ordinal[i] = own.setdefault(loads.bytes[start[i] : end[i]].tobytes(), len(own))
+        unique, first, entry = np.unique(np.stack([h, ordinal], 1), axis=0, return_index=True, return_inverse=True)
+        unique, entry = unique[:, 0], entry.reshape(-1)
+    return Distinct(loads, unique, start[first], size[first], entry)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each maximal run of member bytes inside a document, and first word of each document (with the total last)."""
     inside = member[data]
@@ -185,7 +262,9 @@ def slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[str]:
 
 
 class WordCache:
-    """Ids of distinct words, by 64-bit hash, for the words seen lately: flat arrays, about 20 bytes a word and 4 an id."""
+    """Ids of the distinct words seen lately: flat arrays, found by 64-bit hash and told apart by their bytes."""
+
+    TEXT = 24 << 20  # bytes of words kept
 
     def __init__(self, limit: int = 600_000):
         self.limit = limit
@@ -194,36 +273,55 @@ class WordCache:
     def clear(self) -> None:
         self.known = np.zeros(0, U64)  # ascending
         self.row = np.zeros(0, np.int32)
+        self.count = self.used = self.written = 0
         self.pool = np.zeros(1 << 16, np.int32)
-        self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int32)
-
-    def rows(self, hashes: np.ndarray, encode) -> np.ndarray:
-        """Rows (into start and size) of distinct words, ascending by hash; ``encode(new)`` gets the positions of
-        unknown ones and returns (flat ids, ids per word)."""
-        if len(self.known) > self.limit:
+        self.text = Loads(np.zeros(1 << 18, np.uint8))
+        self.place = np.zeros(1 << 14, np.int64)
+        self.length = np.zeros(1 << 14, np.int32)
+
+    def rows(self, words: Distinct, encode) -> np.ndarray:
+        """Rows (into start and size) of distinct words; ``encode(new)`` gets the positions of unknown ones and returns
+        (flat ids, ids per word).  Of words with one hash only the first seen is found again."""
+        if len(self.known) > self.limit or self.written > self.TEXT:
             self.clear()
-        at = np.searchsorted(self.known, hashes)
+        at = np.searchsorted(self.known, words.hash)
         inside = np.minimum(at, max(0, len(self.known) - 1))
-        found = self.known[inside] == hashes if len(self.known) else np.zeros(len(hashes), bool)
-        rows = np.full(len(hashes), -1, np.int64)
-        rows[found] = self.row[at[found]]
-        new = np.flatnonzero(~found)
+        taken = self.known[inside] == words.hash if len(self.known) else np.zeros(len(words.hash), bool)
+        rows = np.full(len(words.hash), -1, np.int64)
+        old = np.flatnonzero(taken)
+        own = self.row[at[old]]
+        same = words.loads.equal(words.start[old], words.size[old], self.text, self.place[own], self.length[own])
+        rows[old[same]] = own[same]
+        new = np.flatnonzero(rows < 0)
         if len(new):
             flat, size = encode(new)
-            first = len(self.known)
-            self.start, self.size = _grown(self.start, first + len(new)), _grown(self.size, first + len(new))
+            first, self.count = self.count, self.count + len(new)
+            self.start, self.size, self.place, self.length = (_grown(x, self.count) for x in (self.start, self.size, self.place, self.length))
             self.pool = _grown(self.pool, self.used + len(flat))
             rows[new] = first + np.arange(len(new))
             self.start[rows[new]] = self.used + np.cumsum(size) - size
             self.size[rows[new]] = size
             self.pool[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
-            self.known = np.insert(self.known, at[new], hashes[new])
-            self.row = np.insert(self.row, at[new], rows[new].astype(np.int32))
+            keep = new[~taken[new] & (np.concatenate([[True], words.hash[1:] != words.hash[:-1]]))[new]]
+            self._write(words, keep, rows[keep])
+            self.known = np.insert(self.known, at[keep], words.hash[keep])
+            self.row = np.insert(self.row, at[keep], rows[keep].astype(np.int32))
         return rows
 
+    def _write(self, words: Distinct, which: np.ndarray, rows: np.ndarray) -> None:
+        """Keep the bytes of words, each from a multiple of eight."""
+        size = words.size[which]
+        room = (size + 7) >> 3 << 3
+        place = self.written + np.cumsum(room) - room
+        self.place[rows], self.length[rows] = place, size
+        self.written += int(room.sum())
+        if self.written + 16 > len(self.text.bytes):
+            self.text = Loads(_grown(self.text.bytes, self.written + 16))
+        self.text.bytes[ragged(place, size)] = words.loads.bytes[ragged(words.start[which], size)]
+
     def ids(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words of these rows, one after another, and the number of each word."""
         size = self.size[row].astype(np.int64)

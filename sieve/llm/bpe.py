@@ -24,7 +24,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-from ._text import Prefix, WordCache, kind, map_text, ragged
+from ._text import WordCache, distinct, kind, map_text, ragged
 
 SHORT = 64
 _NONE = np.iinfo(np.int32).max
@@ -241,11 +241,9 @@ class ByteBpe:
             edges = np.unique(np.concatenate([edges, *[[s, s + n] for s, n, _ in special]]))
         start = pretokens(data, edges)
         size = np.diff(np.append(start, len(data)))
-        h = Prefix(data).hash(start, start + size)
-        unique, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-        s, z = start[index], size[index]
-        rows = self.cache.rows(unique, lambda new: self.encode_words(data, s[new], z[new]))
-        ids, count = self.cache.ids(rows[inverse])
+        found = distinct(data, start, start + size)
+        rows = self.cache.rows(found, lambda new: self.encode_words(data, found.start[new], found.size[new]))
+        ids, count = self.cache.ids(rows[found.entry])
         if special:
             ids, start, count = self._place(ids, start, count, special)
         total = np.concatenate([[0], np.cumsum(count)])

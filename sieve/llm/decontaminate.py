@@ -5,13 +5,14 @@ characters beyond ASCII.  A window is ``size`` consecutive words of a benchmark
 an item of fewer words, but not none, is one window.  A document word inside any
 occurrence of a window is hit.
 
-The windows form a hash set that is broadcast: 8 bytes of hash, an item list and the words
-of each window, for verification.  Its size is measured first; beyond
-``MAX_BROADCAST`` bytes the windows of benchmark and documents meet by a shuffle on 128-bit hashes instead.
+The windows form a hash set that is broadcast: the benchmark's words as ids of a vocabulary, and per window its hash, its
+place and its item.  It is built in the driver from at most ``MAX_BROADCAST`` / 16 bytes of text (some 15 bytes of memory
+for each) and broadcast if the arrays, measured, have at most ``MAX_BROADCAST`` bytes.  A larger benchmark meets
+the documents by a shuffle on 128-bit hashes instead.
 
-With a broadcast set, documents are scanned in blocks: word hashes are found in the benchmark's vocabulary, runs of known
-words are hashed window by window, and every hash that is found is verified word id by word id,
-so hash collisions can't give a hit.
+With a broadcast set, documents are scanned in blocks: words are found in the vocabulary by hash and compared byte for byte, and runs
+of known words are hashed window by window; every hash that is found is compared with the window id by id.  After a shuffle
+each window found is compared with the document's words byte for byte.  So hash collisions can't give a hit on either way.
 
 Defined cases: null or empty text has no words and no hit; an item without words has no window; items
 with a null id hit words like others and count as one item, which the list of items leaves out; an empty benchmark hits nothing; equal rows give equal results, one per row.
@@ -24,8 +25,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from ._jobs import unique_keys
-from ._text import ALNUM_WORD, BLOCK, LOWER, Prefix, blocks, column_bytes, gather, kind, mix, per_doc, window_hash, words
+from ._jobs import materialise, unique_keys
+from ._text import ALNUM_WORD, BLOCK, LOWER, Loads, blocks, column_bytes, distinct, kind, mix, per_doc, ragged, window_hash, words
 
 SIZE = 10
 MAX_BROADCAST = 256 << 20
@@ -38,37 +39,57 @@ def _by_name(item: str | None):
 
 
 class Windows:
-    """The windows of a benchmark: vocabulary, and per length sorted window hashes with their words and items."""
+    """The windows of a benchmark: vocabulary, the items' words as ids, and per length the windows' hashes in ascending order."""
 
     def __init__(self, ids: list[str | None], texts: pa.Array, size: int):
         data, offsets = column_bytes(texts)
-        data = LOWER[data]
-        start, end, first = words(data, offsets, ALNUM_WORD)
-        h = Prefix(data).hash(start, end)
-        self.words, index = np.unique(h, return_index=True)
-        self.strings = gather(data, start[index], (end - start)[index])
-        wid = np.searchsorted(self.words, h)
+        low = LOWER[data]
+        start, end, first = words(low, offsets, ALNUM_WORD)
+        known = distinct(low, start, end)
+        self.hash, self.size = known.hash, known.size
+        self.text = Loads(low[ragged(known.start, known.size)])
+        self.place = np.cumsum(known.size) - known.size
+        self.most = int(np.unique(known.hash, return_counts=True)[1].max(initial=0))  # vocabulary words with one hash
+        self.wid = known.entry.astype(np.int32)
         self.ids = sorted(set(ids), key=_by_name)
         rank = {x: i for i, x in enumerate(self.ids)}
-        found: dict[int, dict[tuple, set]] = {}
-        for i, name in enumerate(ids):
-            own = wid[first[i] : first[i + 1]]
-            if len(own) == 0:
-                continue
-            n = min(size, len(own))
-            for j in range(len(own) - n + 1):
-                found.setdefault(n, {}).setdefault(tuple(own[j : j + n].tolist()), set()).add(rank[name])
+        item_of = np.array([rank[x] for x in ids], np.int32)
+        count = np.diff(first)
         self.by_length = {}
-        for n, table in found.items():
-            grams = np.array(list(table), np.int64).reshape(-1, n)
-            items = [np.array(sorted(x)) for x in table.values()]
-            key = window_hash(grams.reshape(-1).astype(np.uint64), n)[::n] if n > 1 else window_hash(grams[:, 0].astype(np.uint64), 1)
-            order = np.argsort(key, kind="stable")
-            self.by_length[n] = (key[order], grams[order], [items[i] for i in order])
+        for n in np.unique(np.minimum(count[count > 0], size)).tolist():
+            own = np.flatnonzero(np.minimum(count, size) == n)
+            at = ragged(first[own], count[own] - n + 1)
+            item = np.repeat(item_of[own], count[own] - n + 1)
+            key = window_hash(self.wid.astype(np.uint64), n)[at]
+            order = np.lexsort((at, item, key))
+            key, at, item = key[order], at[order], item[order]
+            keep = np.ones(len(at), bool)  # without repeats of a window in an item
+            i = np.flatnonzero((key[1:] == key[:-1]) & (item[1:] == item[:-1]))
+            keep[i[self._same(self.wid, at[i], at[i + 1], n)] + 1] = False
+            self.by_length[n] = (key[keep], at[keep], item[keep])
 
     @property
     def nbytes(self) -> int:
-        return self.words.nbytes + self.strings.nbytes + sum(k.nbytes + g.nbytes + sum(x.nbytes for x in it) for k, g, it in self.by_length.values())
+        return sum(x.nbytes for x in (self.hash, self.size, self.text.bytes, self.place, self.wid)) + sum(x.nbytes for own in self.by_length.values() for x in own)
+
+    def _same(self, wid: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+        """Whether the windows of ids from a are the benchmark's from b."""
+        same = np.ones(len(a), bool)
+        for j in range(n):
+            same &= wid[a + j] == self.wid[b + j]
+        return same
+
+    def lookup(self, loads: Loads, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Vocabulary id of each word, -1 if it has none."""
+        wid = np.full(len(start), -1, np.int64)
+        h = loads.hash(start, start + size)
+        lo = np.searchsorted(self.hash, h)
+        for k in range(self.most):
+            at = np.minimum(lo + k, len(self.hash) - 1)
+            i = np.flatnonzero((wid < 0) & (lo + k < len(self.hash)) & (self.hash[at] == h))
+            same = loads.equal(start[i], size[i], self.text, self.place[at[i]], self.size[at[i]])
+            wid[i[same]] = at[i[same]]
+        return wid
 
     def scan(self, data: np.ndarray, offsets: np.ndarray):
         """Words' starts and ends, first word of each document, hit mask of the words, and (document, item) pairs."""
@@ -76,51 +97,49 @@ class Windows:
         start, end, first = words(low, offsets, ALNUM_WORD)
         hit = np.zeros(len(start), bool)
         pairs = [np.zeros((0, 2), np.int64)]
-        if len(self.words) == 0 or len(start) == 0:
+        if len(self.hash) == 0 or len(start) == 0:
             return start, end, first, hit, pairs[0]
-        h = Prefix(low).hash(start, end)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        known = np.flatnonzero(self.words[at] == h)
-        wid = np.full(len(h), -1, np.int64)
-        wid[known] = at[known]
+        wid = self.lookup(Loads(low), start, end - start)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        for n, (keys, grams, items) in self.by_length.items():
+        unknown = np.concatenate([[0], np.cumsum(wid < 0)])
+        for n, (keys, place, item) in self.by_length.items():
             if len(wid) < n:
                 continue
             # starts of windows all of whose words are known, inside one document
-            unknown = np.concatenate([[0], np.cumsum(wid < 0)])
             s = np.flatnonzero((unknown[n:] == unknown[:-n]) & (doc[n - 1 :] == doc[: len(doc) - n + 1]))
-            if not len(s):
-                continue
             k = window_hash(wid.astype(np.uint64), n)[s]
             lo = np.searchsorted(keys, k, "left")
-            hi = np.searchsorted(keys, k, "right")
-            for j in np.flatnonzero(hi > lo):
-                own = wid[s[j] : s[j] + n]
-                for g in range(lo[j], hi[j]):
-                    if np.array_equal(grams[g], own) and self._same(low, start, end, s[j], n):
-                        hit[s[j] : s[j] + n] = True
-                        pairs.append(np.stack([np.full(len(items[g]), doc[s[j]]), items[g]], 1))
-        found = np.concatenate(pairs)
-        return start, end, first, hit, np.unique(found, axis=0) if len(found) else found
-
-    def _same(self, low, start, end, at: int, n: int) -> bool:
-        """The window's words are the vocabulary's words, byte for byte."""
-        h = np.searchsorted(self.words, Prefix(low[start[at] : end[at + n - 1]]).hash(start[at : at + n] - start[at], end[at : at + n] - start[at]))
-        return all(low[start[at + i] : end[at + i]].tobytes() == self.strings[int(h[i])].as_buffer().to_pybytes() for i in range(n))
+            found = np.searchsorted(keys, k, "right") - lo
+            s, at = np.repeat(s, found), ragged(lo, found)
+            same = self._same(wid, s, place[at], n)
+            s, at = s[same], at[same]
+            hit[(s[:, None] + np.arange(n)).reshape(-1)] = True
+            pairs.append(np.stack([doc[s], item[at]], 1))
+        return start, end, first, hit, np.unique(np.concatenate(pairs), axis=0)
+
+
+def normalised(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with one space after each, and where each starts."""
+    size = end - start
+    place = np.cumsum(size + 1) - size - 1
+    out = np.full(int((size + 1).sum()), 32, np.uint8)
+    out[ragged(place, size)] = low[ragged(start, size)]
+    return out, place
 
 
 def _window_rows(lengths: list[int] | None, size: int):
-    """Rows (key, n, at, h1, h2) of all windows of texts: of the given lengths, or each text's own (``size``, or all its words if fewer)."""
+    """Rows (key, n, at, h1, h2) of all windows of texts: of the given lengths, or each text's own (``size``, or all its words if
+    fewer) with a sixth column for the window's words."""
 
     def run(batches):
         for batch in batches:
             for block, data, offsets in blocks(batch, "text", BLOCK // 4):
                 low = LOWER[data]
                 start, end, first = words(low, offsets, ALNUM_WORD)
-                h = Prefix(low).hash(start, end)
+                h = Loads(low).hash(start, end)
                 count = np.diff(first)
                 doc = np.repeat(np.arange(len(count)), count)
+                text, place = normalised(low, start, end)
                 for n in lengths or range(1, size + 1):
                     if len(h) < n:
                         continue
@@ -129,65 +148,85 @@ def _window_rows(lengths: list[int] | None, size: int):
                     if lengths is None and n < size:
                         at = at[count[doc[at]] == n]
                     keys = block.column(0).take(pa.array(doc[at]))
-                    place = at - first[doc[at]]
-                    columns = [keys, pa.array(np.full(len(at), n)), pa.array(place), pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "at", "h1", "h2"])
+                    columns = [keys, pa.array(np.full(len(at), n)), pa.array(at - first[doc[at]]), pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64))]
+                    names = ["key", "n", "at", "h1", "h2"]
+                    if lengths is None:
+                        room = place[at + n - 1] + (end - start)[at + n - 1] - place[at]
+                        edge = np.concatenate([[0], np.cumsum(room)]).astype(np.int64)
+                        grams = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(text[ragged(place[at], room)]))])
+                        columns.append(grams.cast(pa.binary()))
+                        names.append("gram")
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _hits_by_shuffle(texts, benchmark, item_col: str, text_col: str, size: int):
-    """(key, hits, items): hit words of the texts (key, text) and the items, with windows dealt by 128-bit hashes."""
+def _found_by_shuffle(texts, benchmark, item_col: str, text_col: str, size: int):
+    """(key, found): for texts (key, text) the windows (at, n, item, gram) whose 128-bit hashes are equal, still to be compared."""
     from pyspark.sql import functions as F
 
     ddl = "key {}, n long, at long, h1 long, h2 long"
     items = benchmark.select(F.col(item_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text"))
-    grams = items.mapInArrow(_window_rows(None, size), ddl.format("string")).select(F.col("key").alias("item"), "n", "h1", "h2").distinct()
+    grams = items.mapInArrow(_window_rows(None, size), ddl.format("string") + ", gram binary").select(F.col("key").alias("item"), "n", "h1", "h2", "gram").distinct()
+    grams = materialise(grams, "grams")
     lengths = sorted(r["n"] for r in grams.select("n").distinct().collect())  # at most ``size`` numbers
     spots = texts.mapInArrow(_window_rows(lengths or [size], size), ddl.format("long"))
     found = spots.join(grams, ["n", "h1", "h2"])
-    hits = found.select("key", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("w")).distinct().groupBy("key").agg(F.collect_list("w").alias("hits"))
-    own = found.select("key", F.struct("item").alias("item")).distinct()  # a list drops nulls, but not rows with a null
-    names = own.groupBy("key").agg(F.sort_array(F.collect_list("item"))["item"].alias("items"))
-    return hits.join(names, "key")
+    return found.groupBy("key").agg(F.collect_list(F.struct("at", "n", "item", "gram")).alias("found"))
+
+
+def _compared(block: pa.RecordBatch, column: int, data: np.ndarray, offsets: np.ndarray):
+    """(starts, ends, first, hit mask, item lists) of a block from windows (at, n, item, gram) found for its rows."""
+    low = LOWER[data]
+    start, end, first = words(low, offsets, ALNUM_WORD)
+    hit = np.zeros(len(start), bool)
+    lists = block.column(column)
+    lists = lists.fill_null([]) if lists.null_count else lists
+    row = np.repeat(np.arange(block.num_rows), np.diff(np.asarray(lists.offsets)))
+    names: list[set] = [set() for _ in range(block.num_rows)]
+    if len(row):
+        flat = lists.flatten()
+        at, n = (np.asarray(flat.field(k)) for k in (0, 1))
+        text, place = normalised(low, start, end)
+        a, b = first[row] + at, first[row] + at + n - 1
+        grams, edge = column_bytes(flat.field(3))
+        same = Loads(text).equal(place[a], place[b] + (end - start)[b] - place[a], Loads(grams), edge[:-1], np.diff(edge))
+        hit[ragged(a[same], n[same])] = True
+        for d, i in zip(row[same].tolist(), flat.field(2).filter(pa.array(same)).to_pylist()):
+            names[d].add(i)
+    return start, end, first, hit, [sorted(x, key=_by_name) for x in names]
 
 
 def _marked(docs, benchmark, id_col: str, text_col: str, item_col: str, item_text_col: str, size: int, limit: int):
     """(docs, marks): marks(block, data, offsets) gives (starts, ends, first, hit mask, sorted item lists, null first) of a block of docs.
 
     A benchmark of up to ``limit`` bytes as windows is broadcast; a larger one meets the windows of the documents by a shuffle, and
-    docs carry the hits in two more columns at the end.
+    docs carry what was found in one more column at the end.
     """
     from pyspark.sql import functions as F
 
     n = benchmark.agg(F.sum(F.octet_length(F.col(item_text_col).cast("string")))).first()[0] or 0
-    if n * 16 <= limit:  # a byte of text takes under 16 bytes as windows
+    windows = None
+    if n <= limit // 16:
         table = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast(Windows(table.column(0).to_pylist(), table.column(1), size))
+        windows = Windows(table.column(0).to_pylist(), table.column(1), size)
+    if windows is not None and windows.nbytes <= limit:
+        shared = docs.sparkSession.sparkContext.broadcast(windows)
 
         def marks(block, data, offsets):
             w = shared.value
             start, end, first, hit, pairs = w.scan(data, offsets)
             lists = [[] for _ in range(block.num_rows)]
-            for d, i in pairs.tolist():
+            for d, i in pairs.tolist():  # in the order of names
                 lists[d].append(w.ids[i])
-            return start, end, first, hit, [sorted(x, key=_by_name) for x in lists]
+            return start, end, first, hit, lists
 
         return docs, marks
 
     keyed = unique_keys(docs, id_col, text_col, "__row_key")
-    found = _hits_by_shuffle(keyed.select(F.col("__row_key").alias("key"), F.col(text_col).alias("text")), benchmark, item_col, item_text_col, size)
-    joined = keyed.join(found.select(F.col("key").alias("__row_key"), F.col("hits").alias("__hits"), F.col("items").alias("__items")), "__row_key", "left")
-
-    def carried(block, data, offsets):
-        start, end, first = words(LOWER[data], offsets, ALNUM_WORD)
-        hit = np.zeros(len(start), bool)
-        for d, own in enumerate(block.column(block.num_columns - 2).to_pylist()):
-            if own:
-                hit[first[d] + np.array(own)] = True
-        return start, end, first, hit, [x or [] for x in block.column(block.num_columns - 1).to_pylist()]
-
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__hits", "__items"), carried
+    found = _found_by_shuffle(keyed.select(F.col("__row_key").alias("key"), F.col(text_col).alias("text")), benchmark, item_col, item_text_col, size)
+    joined = keyed.join(found.select(F.col("key").alias("__row_key"), F.col("found").alias("__found")), "__row_key", "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__found"), lambda block, data, offsets: _compared(block, block.num_columns - 1, data, offsets)
 
 
 def contamination(docs, benchmark, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = SIZE, limit: int = MAX_BROADCAST):

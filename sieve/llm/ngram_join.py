@@ -43,7 +43,7 @@ import pyarrow as pa
 import xxhash
 
 from ._jobs import materialise, small_batches, unique_keys
-from ._text import LOWER, SPACE_WORD, Prefix, blocks, column_bytes, ragged, window_hash, words
+from ._text import LOWER, SPACE_WORD, Loads, blocks, column_bytes, ragged, window_hash, words
 
 SIZE = 5
 PERCENT = 80
@@ -67,7 +67,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     """Ascending distinct shingle hashes of each document of a block."""
     low = LOWER[data]
     start, end, first = words(low, offsets, SPACE_WORD)
-    h = Prefix(low).hash(start, end)
+    h = Loads(low).hash(start, end)
     grams = window_hash(h, size)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):

@@ -19,7 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from ._text import SPACE_WORD, Prefix, WordCache, kind, map_text, per_doc, slices, window_hash, words
+from ._text import SPACE_WORD, WordCache, distinct, kind, map_text, mix, per_doc, slices, words
 
 #: language -> least and most characters per token, most share of byte-fallback tokens, least and most
 #: evenness (entropy of the tokens over that of equally frequent ones).  Fixed bands, set with a
@@ -57,17 +57,15 @@ class Fertility:
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The counts of the base rules for each document of a block, and the words found."""
     start, end, first = words(data, offsets, SPACE_WORD)
-    prefix = Prefix(data)
-    h = prefix.hash(start, end)
+    found = distinct(data, start, end)
     n_words = np.diff(first)
     leads = (data & 0xC0) != 0x80
     inside = SPACE_WORD[data] & leads
     doc = np.repeat(np.arange(len(n_words)), n_words)
-    again = np.zeros(len(h), bool)
-    windows = window_hash(h, 3)
-    if len(windows):
+    again = np.zeros(len(start), bool)
+    if len(start) > 2:
         at = np.flatnonzero(doc[2:] == doc[:-2])
-        twice = at[_again(windows[at], doc[at])[0]]
+        twice = at[_again(doc[at], *(found.entry[at + j] for j in range(3)))[0]]
         for j in range(3):
             again[twice + j] = True
     # lines: runs between \n and ends of documents
@@ -79,7 +77,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     filled = np.searchsorted(start, ends, "left") > np.searchsorted(start, line_start, "left")
     line_start, ends = line_start[filled], ends[filled]
     line_doc = np.searchsorted(offsets, line_start, "right") - 1
-    later = _again(prefix.hash(line_start, ends), line_doc)[1]
+    later = _again(line_doc, distinct(data, line_start, ends).entry)[1]
     n_lines = len(n_words)
     return {
         "n_words": n_words,
@@ -87,20 +85,23 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_symbols": per_doc(SYMBOLS[data], offsets),
         "n_dup_lines": np.bincount(line_doc[later], minlength=n_lines).astype(np.int64),
         "n_repeat_words": per_doc(again, first),
-        "start": start,
-        "end": end,
-        "hash": h,
+        "words": found,
         "first": first,
         "doc": doc,
     }
 
 
-def _again(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masks of the entries found twice or more within their document, and of those with an equal one before."""
-    mixed = h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    order = np.argsort(mixed, kind="stable")
-    s = mixed[order]
-    same = s[1:] == s[:-1]
+def _again(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the rows found twice or more, and of those with an equal one before."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = mix(h * np.uint64(0x2545F4914F6CDD1D) + c.astype(np.uint64))
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    i, j = order[:-1][same], order[1:][same]
+    if not all((c[i] == c[j]).all() for c in columns):  # different rows with one hash: sort the rows themselves
+        order = np.lexsort(columns)
+        same = np.logical_and.reduce([c[order[1:]] == c[order[:-1]] for c in columns])
     later = np.zeros(len(h), bool)
     later[order[1:][same]] = True
     twice = later.copy()
@@ -110,10 +111,9 @@ def _again(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fertility(counts: dict, data: np.ndarray, pieces: Fertility) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, byte-fallback tokens and entropy in bits for each document of a block."""
-    unique, index, inverse = np.unique(counts["hash"], return_index=True, return_inverse=True)
-    start, size = counts["start"][index], (counts["end"] - counts["start"])[index]
-    rows = pieces.cache.rows(unique, lambda new: pieces.encode(slices(data, start[new], size[new])))
-    ids, size = pieces.cache.ids(rows[inverse])
+    found = counts["words"]
+    rows = pieces.cache.rows(found, lambda new: pieces.encode(slices(data, found.start[new], found.size[new])))
+    ids, size = pieces.cache.ids(rows[found.entry])
     n_tokens = per_doc(size, counts["first"])
     n_docs = len(counts["n_words"])
     token_doc = np.repeat(np.arange(n_docs), n_tokens)

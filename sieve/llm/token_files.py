@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 
 from ._jobs import materialise, shared_folder, small_batches
-from ._text import BLOCK, SPACE_WORD, Prefix, WordCache, blocks, gather, mix, ragged, words
+from ._text import BLOCK, SPACE_WORD, WordCache, blocks, distinct, gather, mix, ragged, words
 from .bpe import LETTER, NUMBER, char_classes
 
 MAGIC = 0x3153444954564953
@@ -231,11 +231,11 @@ class WordEncoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of texts, and how many each text has."""
         start, end, first = words(data, offsets, SPACE_WORD)
-        unique, index, inverse = np.unique(Prefix(data).hash(start, end), return_index=True, return_inverse=True)
-        s, e = start[index], end[index]
-        count = self.pretokens(data, s, e)
-        rows = self.cache.rows(unique, lambda new: self._words(gather(data, s[new], (e - s)[new]).to_pylist(), count[new]))
-        ids, size = self.cache.ids(rows[inverse])
+        found = distinct(data, start, end)
+        s, z = found.start, found.size
+        count = self.pretokens(data, s, s + z)
+        rows = self.cache.rows(found, lambda new: self._words(gather(data, s[new], z[new]).to_pylist(), count[new]))
+        ids, size = self.cache.ids(rows[found.entry])
         total = np.concatenate([[0], np.cumsum(size)])
         return ids, np.diff(total[first])
 
