@@ -6,8 +6,8 @@ an item of fewer words, but not none, is one window.  A document word inside any
 occurrence of a window is hit.
 
 The windows form a hash set that is broadcast: the benchmark's words as ids of a vocabulary, and per window its hash, its
-place and its item.  It is built in the driver from at most ``MAX_BROADCAST`` / 16 bytes of text (some 15 bytes of memory
-for each) and broadcast if the arrays, measured, have at most ``MAX_BROADCAST`` bytes.  A larger benchmark meets
+place and its item.  It is built in the driver from at most ``MAX_BROADCAST`` / 16 bytes of text (26 bytes of memory
+for each while it is built, 4 then) and broadcast if the arrays, measured, have at most ``MAX_BROADCAST`` bytes.  A larger benchmark meets
 the documents by a shuffle on 128-bit hashes instead.
 
 With a broadcast set, documents are scanned in blocks: words are found in the vocabulary by hash and compared byte for byte, and runs

@@ -10,19 +10,20 @@ the occurrences of its anchor.  The starts of one occurrence of an anchor are ne
 are its context.
 
 1. Every document gives one row for each anchor occurrence: hash of the anchor, hash of the context, place.
-   Occurrences of one context inside a batch are settled there (all but the first are removed), so a
+   Occurrences of one context inside a batch are compared byte for byte and settled there (all but the first are removed), so a
    passage that many documents share sends one row a batch.
-2. Rows are dealt by anchor and streamed in order.  Of equal contexts all but the first are removed.  Only the
+2. Rows are dealt by anchor and streamed in order.  Of equal contexts (128 bits of hashes) all but the first are removed.  Only the
    first occurrences of anchors that have several contexts stay open.
-3. Open contexts fetch their bytes and are dealt by anchor again.  There the suffixes are ordered by their first
-   ``SPAN`` bytes (prefix doubling, equal ones by place), neighbours' common prefixes follow from the ranks,
-   and the previous smaller position in suffix order gives the longest previous factor.  An anchor with over
+3. Open contexts fetch their bytes and are dealt by anchor again.  There the suffixes are put in the order of their first
+   ``SPAN`` bytes (prefix doubling, equal ones by place); the previous and next smaller positions in that order are the only
+   earlier suffixes that can share the most, and the longer of the two common prefixes is the longest previous
+   factor.  A start whose factor has ``SPAN`` bytes goes.  An anchor with over
    ``HOT`` open contexts (a common line in ever different surroundings) is dealt by the hash of each of its
    strings instead, and streamed.
 4. Removed ranges meet their documents, which are shuffled once.
 
-No stage holds a group of unbounded size.  Hashes have 64 bits and (anchor, context) pairs 128; open contexts
-are compared byte for byte.
+No stage holds a group of unbounded size.  Only copies of whole contexts in different batches are told by hashes alone, of
+128 bits; everything else is compared by its bytes.
 
 Defined cases: null or empty text: nothing to remove; texts shorter than ``SPAN`` stay; texts of any length are
 taken whole; ids that are null, repeated or no integers are ordered by (id, text), null last; an empty table gives
@@ -37,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 
 from ._jobs import materialise, unique_keys
-from ._text import BLOCK, Prefix, blocks, kind, mix, per_doc, ragged
+from ._text import BLOCK, Loads, Prefix, blocks, column_bytes, kind, mix, per_doc, ragged
 
 SPAN = 100
 GRAM = 32
@@ -90,7 +91,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray):
     doc = np.searchsorted(offsets, starts, "right")
     edge = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1])]))
     first, count = starts[edge], np.diff(np.append(edge, len(starts)))
-    return grams[own[edge]], prefix.hash(first, first + count + SPAN - 1), first, count
+    return grams[own[edge]], Loads(data).hash(first, first + count + SPAN - 1), first, count
 
 
 def _anchors(batches):
@@ -108,9 +109,17 @@ def _anchors(batches):
         if not parts:
             continue
         a, c, row, start, count = (np.concatenate(x) for x in zip(*parts))
-        _, first = np.unique(mix(a ^ mix(c)), return_index=True)
+        _, first, entry = np.unique(mix(a ^ mix(c)), return_index=True, return_inverse=True)
         later = np.ones(len(a), bool)
         later[first] = False
+        data, offsets = column_bytes(batch.column(1))
+        own = np.flatnonzero(later)
+        known = first[entry[own]]
+        other = own[~equal_ranges(data, offsets[row[own]] + start[own], count[own], offsets[row[known]] + start[known], count[known])]
+        if len(other):  # different contexts with one hash stay open: another hash of their own sends them to step 3
+            later[other] = False
+            c[other] = mix(c[other] + np.arange(1, len(other) + 1).astype(U64))
+            first = np.flatnonzero(~later)
         r, s, e = merged(row[later], start[later], start[later] + count[later] + SPAN - 1)
         salt = mix(keys[r].astype(U64) + s.astype(U64))
         first.sort()
@@ -125,6 +134,18 @@ def _anchors(batches):
         )
 
 
+def equal_ranges(data: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, chunk: int = 8192) -> np.ndarray:
+    """Whether contexts of n and of m starts from a and b hold the same bytes."""
+    same = n == m
+    for lo in range(0, len(a), chunk):
+        i = lo + np.flatnonzero(same[lo : lo + chunk])
+        size = n[i] + SPAN - 1
+        wrong = data[ragged(a[i], size)] != data[ragged(b[i], size)]
+        if wrong.any():
+            same[i[np.add.reduceat(wrong, np.cumsum(size) - size) > 0]] = False
+    return same
+
+
 def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Ranges of equal rows joined where they touch; input in the order (row, start) with ends ascending in a row."""
     if not len(row):
@@ -207,35 +228,77 @@ def _extract(batches):
             at += n
 
 
-def suffix_ranks(data: np.ndarray, depth: int = SPAN) -> np.ndarray:
-    """Rank of the first ``depth`` (8 or more) bytes of every suffix, by prefix doubling; beyond the end count zero bytes."""
+def suffix_ranks(data: np.ndarray, depth: int = SPAN) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The first eight bytes of every suffix as a number, and (width, rank of the first ``width`` bytes) up to ``depth`` (8 or more).
+
+    Widths double; beyond the end count zero bytes.
+    """
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(U64)
     n = len(data)
     word = np.zeros(n, U64)
     for j in range(8):
         word = word << U64(8) | padded[j : j + n]
-    rank = np.unique(word, return_inverse=True)[1].astype(np.int64) + 1
-    width = 8
+    rank = np.unique(word, return_inverse=True)[1].astype(np.int32) + 1
+    levels, width = [(8, rank)], 8
     while width < depth:
         step = min(width, depth - width)
         ahead = np.zeros(n, np.int64)
         ahead[: max(0, n - step)] = rank[step:]
-        rank = np.unique(rank * (n + 2) + ahead, return_inverse=True)[1].astype(np.int64) + 1
+        rank = np.unique(rank * np.int64(n + 2) + ahead, return_inverse=True)[1].astype(np.int32) + 1
         width += step
-    return rank
-
-
-def long_previous(data: np.ndarray, starts: np.ndarray, depth: int = SPAN) -> np.ndarray:
-    """Which of the ascending ``starts`` have a longest previous factor, among them, of ``depth`` bytes or more.
-
-    In suffix order with equal prefixes by place, a suffix's previous smaller position has a common prefix of
-    ``depth`` exactly if it is its neighbour with the same rank; the next smaller one then has a shorter one.
+        levels.append((width, rank))
+    return word, levels
+
+
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each of distinct values the place of the nearest smaller one before it, -1 if there is none."""
+    before = np.arange(-1, len(values) - 1)
+    left = np.arange(len(values))
+    for _ in range(64):
+        left = left[before[left] >= 0]
+        left = left[values[before[left]] > values[left]]
+        if not len(left):
+            return before
+        before[left] = before[before[left]]  # all between that place and this one is greater
+    stack: list[int] = []
+    numbers = values.tolist()
+    for i, v in enumerate(numbers):  # a long ascent: one pass over all
+        while stack and numbers[stack[-1]] > v:
+            stack.pop()
+        before[i] = stack[-1] if stack else -1
+        stack.append(i)
+    return before
+
+
+def common_prefix(word: np.ndarray, levels: list[tuple[int, np.ndarray]], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes at x and y share, of less than ``depth``: each width at most once, then single bytes."""
+    size = np.zeros(len(x), np.int64)
+    for width, rank in reversed(levels[:-1]):
+        size += width * (rank[x + size] == rank[y + size])
+    wrong = word[x + size] ^ word[y + size]
+    return np.minimum(size + sum((wrong >> U64(64 - 8 * k) == 0).astype(np.int64) for k in range(1, 8)), levels[-1][0] - 1)
+
+
+def longest_previous(data: np.ndarray, starts: np.ndarray, depth: int = SPAN) -> np.ndarray:
+    """The longest previous factor, at most ``depth``, of each of the ascending ``starts`` among them; ``depth`` bytes follow each.
+
+    In suffix order, equal ones by place, the earlier suffix that shares most with a suffix is its previous or its next smaller position.
+    Of suffixes with the same first ``depth`` bytes all but the first have it right before them; the first meets the first of other such runs.
     """
-    rank = suffix_ranks(data, depth)[starts]
+    word, levels = suffix_ranks(data, depth)
+    rank = levels[-1][1][starts]
     order = np.argsort(rank, kind="stable")
-    found = np.zeros(len(starts), bool)
-    found[order[1:]] = rank[order[1:]] == rank[order[:-1]]
-    return found
+    opens = np.ones(len(order), bool)
+    opens[1:] = rank[order[1:]] != rank[order[:-1]]
+    lead = order[opens]
+    lpf = np.full(len(starts), depth, np.int64)
+    lpf[lead] = 0
+    last = len(lead) - 1
+    for place in (previous_smaller(lead), last - previous_smaller(lead[::-1])[::-1]):
+        there = np.flatnonzero((place >= 0) & (place <= last))
+        shared = common_prefix(word, levels, starts[lead[there]], starts[lead[place[there]]])
+        lpf[lead[there]] = np.maximum(lpf[lead[there]], shared)
+    return lpf
 
 
 def _factors(batches):
@@ -253,7 +316,7 @@ def _factors(batches):
         edge = np.cumsum(length) - length
         row = np.repeat(np.arange(len(rows)), length - SPAN + 1)
         starts = ragged(edge, length - SPAN + 1)
-        hit = long_previous(data, starts)
+        hit = longest_previous(data, starts) >= SPAN
         row, inside = row[hit], starts[hit] - edge[row[hit]]
         row, s, e = merged(row, inside, inside + SPAN)
         key, base = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
@@ -270,7 +333,7 @@ def _factors(batches):
                     start.append(row[2])
                 last = (row[0], row[3])
             else:
-                if size > BLOCK and row[0] != held[-1][0]:
+                if size > BLOCK // 2 and row[0] != held[-1][0]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)

@@ -4,9 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sieve.llm import suffix_dedup
+from sieve.llm import _text, suffix_dedup
 
 
 def brute(texts):
@@ -84,22 +85,85 @@ def test_remove_repeats_keeps_whole_characters(spark):
                 assert out[i].text == texts[i]
 
 
-def test_long_previous_against_brute_force():
-    r = np.random.default_rng(0)
-    data = r.integers(97, 99, 400).astype(np.uint8)
-    starts = np.arange(0, 400 - 10)
-    got = suffix_dedup.long_previous(data, starts, 10)
-    raw = data.tobytes()
-    assert got.tolist() == [raw[i : i + 10] in {raw[j : j + 10] for j in range(i)} for i in starts]
+def brute_factors(raw, starts, depth):
+    def shared(i, j):
+        k = 0
+        while k < depth and raw[i + k] == raw[j + k]:
+            k += 1
+        return k
+
+    return [max((shared(i, j) for j in starts[:k]), default=0) for k, i in enumerate(starts)]
+
+
+@pytest.mark.parametrize("letters,depth,step", [(2, 10, 1), (1, 20, 1), (2, 40, 3), (3, 100, 1), (26, 9, 1)])
+def test_longest_previous_factors_against_brute_force(letters, depth, step):
+    r = np.random.default_rng(letters)
+    data = r.integers(97, 97 + letters, 500).astype(np.uint8)
+    data[300:420] = data[100:220]
+    data[60:75] = data[300:315]
+    starts = np.arange(0, 500 - depth + 1, step)
+    assert suffix_dedup.longest_previous(data, starts, depth).tolist() == brute_factors(data.tobytes(), starts.tolist(), depth)
+
+
+@pytest.mark.parametrize("values", [range(300), range(300, 0, -1), [*range(1, 300), 0], [5, 3, 4, 1, 2, 9, 8, 7, 6, 0]])
+def test_previous_smaller(values):
+    v = np.array(values)
+    want = [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(len(v))]
+    assert suffix_dedup.previous_smaller(v).tolist() == want
+
+
+def removed_by_kernels(batches):
+    """(key, byte) removed, from the kernels run one after another on Arrow batches (key, text)."""
+    order = [("anchor", "ascending"), ("context", "ascending"), ("key", "ascending"), ("place", "ascending")]
+    rows = pa.Table.from_batches(suffix_dedup._anchors(batches)).sort_by(order)
+    marks = pa.Table.from_batches(suffix_dedup._classify(rows.to_batches(max_chunksize=7))).to_pylist()
+    gone = [m for m in marks if m["anchor"] is None]
+    wanted = {}
+    for m in marks:
+        if m["anchor"] is not None:
+            wanted.setdefault(m["key"], []).append({"start": m["start"], "end": m["end"], "anchor": m["anchor"], "hot": False})
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("anchor", pa.int64()), ("hot", pa.bool_())]))
+    texts = {k: t for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    picked = [pa.record_batch({"key": pa.array([k]), "text": pa.array([texts[k]], pa.string()), "open": pa.array([w], kind)}) for k, w in wanted.items()]
+    pieces = pa.Table.from_batches(suffix_dedup._extract(picked)).sort_by([("anchor", "ascending"), ("key", "ascending"), ("start", "ascending")])
+    gone += pa.Table.from_batches(suffix_dedup._factors(pieces.to_batches())).to_pylist()
+    return {(g["key"], i) for g in gone for i in range(g["start"], g["end"])}
+
+
+def brute_removed(texts):
+    seen, out = set(), set()
+    for k, t in enumerate(texts):
+        b = (t or "").encode()
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                out |= {(k, j) for j in range(i, i + 100)}
+            seen.add(b[i : i + 100])
+    return out
 
 
-def test_long_texts_are_cut_into_pieces(monkeypatch, spark):
+def test_long_texts_are_cut_into_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 150)
-    monkeypatch.setattr("sieve.llm._text.BLOCK", 150)
     texts = sample(5)
-    import pyarrow as pa
+    texts += ["".join(t or "" for t in texts[20:40]), texts[8] * 5, "".join(t or "" for t in texts[30:50])]  # far longer than four blocks
+    alone = [pa.record_batch({"key": pa.array([k]), "text": pa.array([t], pa.string())}) for k, t in enumerate(texts)]
+    assert max(len(list(suffix_dedup._pieces(b))) for b in alone) > 4
+    assert removed_by_kernels(alone) == brute_removed(texts)
+
 
+def test_contexts_with_one_hash_in_a_batch(monkeypatch):
+    monkeypatch.setattr(_text.Loads, "hash", lambda self, start, end: (end - start).astype(np.uint64))
+    texts = sample(6)
     batch = pa.record_batch({"key": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())})
-    rows = pa.Table.from_batches(suffix_dedup._anchors([batch]))
-    order = rows.sort_by([("anchor", "ascending"), ("context", "ascending"), ("key", "ascending"), ("place", "ascending")])
-    assert rows.num_rows and pa.Table.from_batches(suffix_dedup._classify(order.to_batches(max_chunksize=7))).num_rows
+    assert removed_by_kernels([batch]) == brute_removed(texts)
+
+
+def test_repeated_and_null_ids_against_brute_force(spark):
+    texts = sample(7)[:40]
+    ids = [i // 2 if i % 5 else None for i in range(40)]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    # rows stand in the order of (id, hash of the text), null ids last; the hash is Spark's
+    from pyspark.sql import functions as F
+
+    order = [tuple(r) for r in df.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text").collect()]
+    want = sorted((str(i), *x) for (i, _), x in zip(order, brute([t for _, t in order])))
+    assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in suffix_dedup.removed_bytes(df).collect()) == want
