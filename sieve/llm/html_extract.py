@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from functools import cache
 from html import unescape
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from ._text import kind
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template svg math title textarea iframe object select option datalist audio video canvas head".split())
+SKIPPED = frozenset("script style noscript template svg title textarea iframe select option datalist audio video canvas head".split())
 RAW = frozenset("script style title textarea noscript iframe".split())
 BLOCKS = (
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table caption "
@@ -83,6 +85,8 @@ class Page:
 
     def _parse(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # (tag, its block element)
+        where: dict[str, list[int]] = defaultdict(list)  # places in the stack of each open tag
+        boxes = [0]  # places of the block elements
         buffer: list[str] = []
         links = linked = skip = 0
 
@@ -95,11 +99,20 @@ class Page:
                     self.blocks.append((stack[-1][1], text, min(linked, len(text))))
             linked = 0
 
+        def push(tag: str, element: int):
+            where[tag].append(len(stack))
+            if tag in _BLOCK:
+                boxes.append(len(stack))
+            stack.append((tag, element))
+
         def close(depth: int):
             nonlocal links, skip
-            if any(t in _BLOCK for t, _ in stack[depth:]):
+            if boxes[-1] >= depth:
                 flush()
+            while boxes[-1] >= depth:
+                boxes.pop()
             for t, _ in stack[depth:]:
+                where[t].pop()
                 links -= t == "a"
                 skip -= t in SKIPPED
             del stack[depth:]
@@ -112,24 +125,25 @@ class Page:
                 if links:
                     linked += len(piece.strip())
 
-        at = 0
+        at = look = 0  # the text not yet taken, and where to look for the next tag
         while True:
-            m = _TAG.search(html, at)
+            look = html.find("<", look)
+            m = _TAG.match(html, look) if look >= 0 else None
             if not m:
-                text(html[at:])
-                break
+                if look < 0 or html[look + 1 : look + 2].isalpha():  # nothing closes a tag from here on
+                    text(html[at:])
+                    break
+                look += 1
+                continue
             text(html[at : m.start()])
-            at = m.end()
+            at = look = m.end()
             end, tag, attrs = m[1], m[2] or m[4], m[3] if m[2] else m[5]
             if end:
                 end = end.lower()
-                block = end in _BLOCK
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == end or (end in _HEADINGS and stack[i][0] in _HEADINGS):
-                        close(i)
-                        break
-                    if not block and stack[i][0] in _BLOCK:
-                        break  # an inline end tag doesn't close blocks
+                same = _HEADINGS if end in _HEADINGS else (end,)
+                i = max((where[t][-1] for t in same if where.get(t)), default=0)
+                if i and (end in _BLOCK or i > boxes[-1]):  # an inline end tag doesn't close blocks
+                    close(i)
                 continue
             if not tag:
                 if m[0].startswith("<![CDATA["):
@@ -141,7 +155,7 @@ class Page:
                 continue
             if tag in RAW:
                 m = _RAW_END[tag].search(html, at)
-                at = m.end() if m else len(html)
+                at = look = m.end() if m else len(html)
                 self.controls[stack[-1][1]] += tag == "textarea"
                 continue
             if tag == "br":
@@ -149,20 +163,12 @@ class Page:
             if tag in _BLOCK and tag not in VOID:
                 if tag in _IMPLIED:
                     closes, bound = _IMPLIED[tag]
-                    depth = None
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] in bound:
-                            break
-                        if stack[i][0] in closes:
-                            depth = i
-                    if depth:
-                        close(depth)
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] in _BLOCK:
-                        break
+                    above = max((where[t][-1] for t in bound if where.get(t)), default=0)
+                    inside = [own[k] for t in closes if (own := where.get(t)) and (k := bisect_right(own, above)) < len(own)]
+                    if inside:
+                        close(min(inside))
+                if stack[boxes[-1]][0] == "p":
+                    close(boxes[-1])
                 flush()
                 self.tags.append(tag)
                 self.attrs.append(attrs or "")
@@ -170,7 +176,7 @@ class Page:
                 self.elements.append(0)
                 self.controls.append(0)
                 if not (attrs and attrs.rstrip().endswith("/") and tag in ("hr",)):
-                    stack.append((tag, len(self.tags) - 1))
+                    push(tag, len(self.tags) - 1)
                 continue
             if tag == "hr":
                 flush()
@@ -178,7 +184,7 @@ class Page:
             self.elements[owner] += 1
             self.controls[owner] += tag in _CONTROLS
             if tag not in VOID and not (attrs and attrs.endswith("/") and tag in SKIPPED):
-                stack.append((tag, owner))
+                push(tag, owner)
                 links += tag == "a"
                 skip += tag in SKIPPED
         flush()
@@ -307,26 +313,26 @@ _MAIN, _REST, _MIXED = range(3)
 _MIX_COST = 2.0
 
 
-def decode(page: Page, odds: np.ndarray) -> list[str]:
-    """Texts of the blocks chosen as main."""
-    n = len(page.tags)
+def choose(parent: list[int], odds: np.ndarray) -> list[int]:
+    """The label of each element: of all choices that nothing contradicts the one of the greatest total."""
+    n = len(parent)
     # a mixed element's own text goes by its own sign, and each mixed element costs a little
     main, rest, mixed = odds.tolist(), (-odds).tolist(), (np.abs(odds) - _MIX_COST).tolist()
-    for i in range(n - 1, -1, -1):
-        p = page.parent[i]
-        if p >= 0:
-            main[p] += main[i]
-            rest[p] += rest[i]
-            mixed[p] += max(main[i], rest[i], mixed[i])
-    label = [0] * n
-    for i in range(n):
-        up = label[page.parent[i]] if i else _MIXED
-        if i == 0:
-            label[i] = _MIXED  # the page as a whole
-        elif up != _MIXED:
-            label[i] = up
-        else:
-            label[i] = max(((mixed[i], _MIXED), (rest[i], _REST), (main[i], _MAIN)), key=lambda x: x[0])[1]
+    for i in range(n - 1, 0, -1):
+        p = parent[i]
+        main[p] += main[i]
+        rest[p] += rest[i]
+        mixed[p] += max(main[i], rest[i], mixed[i])
+    label = [_MIXED] * n  # the page as a whole is
+    for i in range(1, n):
+        up = label[parent[i]]
+        label[i] = up if up != _MIXED else max(((mixed[i], _MIXED), (rest[i], _REST), (main[i], _MAIN)), key=lambda x: x[0])[1]
+    return label
+
+
+def decode(page: Page, odds: np.ndarray) -> list[str]:
+    """Texts of the blocks chosen as main."""
+    label = choose(page.parent, odds)
     return [t for e, t, _ in page.blocks if label[e] == _MAIN or (label[e] == _MIXED and odds[e] > 0)]
 
 
