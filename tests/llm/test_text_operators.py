@@ -238,8 +238,40 @@ def test_url_filter(spark):
         ("org", "", None, "allow"),
         ("bad.net", "/p", None, "block"),
     ]
-    listed = spark.createDataFrame([("bad.net/p",), ("ORG",), (None,)], "entry string")
-    assert [r.page_id for r in url_filter.block_listed(df, listed).collect()] == [13]
+
+
+def judged_by_hand(url, rules, listed):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    m = re.match(r"(?s)(?:(?!://).)*://([^/?#]*)([^?#]*)", url or "")
+    host, path = (m[1].translate(low), m[2]) if m else ("", "")
+    fit = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    if fit:
+        return host, path, max(fit)[3], max(fit)[4]
+    entries = {(x.partition("/")[0].translate(low) + x[len(x.partition("/")[0]) :]) for x in listed if x}
+    return host, path, None, "block" if host and (host in entries or host + path in entries) else "allow"
+
+
+LISTED = ["bad.net/p", "ORG", None, "", "Ärger.com", "b.a/X/y", "B.a", "com/x", "n.et", "n.et/1", "é.org/ß"]
+
+
+@pytest.mark.parametrize("kind,limit", [("list", 1 << 20), ("list", -1), ("table", 1 << 20), ("table", -1)])
+def test_urls_against_a_list_of_any_size(spark, kind, limit, monkeypatch):
+    monkeypatch.setattr(url_filter, "SHARD_BYTES", 64)
+    r = random.Random(5)
+    hosts = ["bad.net", "org", "Ärger.com", "ärger.com", "B.A", "b.a", "a.b.a", "n.et", "x.example.org", "com", "é.org", "", "a..com", "q.r.fr."]
+    urls = [f"{r.choice(['http', 'x', ''])}{r.choice(['://', '://', '://', ':/', ''])}{r.choice(hosts)}{r.choice(['', '/', '/p', '/X/y', '/x', '/1', '/es/', '/en/1/2', '/ß'])}{r.choice(['', '?q=://b.a/', '#z', '?'])}" for _ in range(300)]
+    urls += [None, "", "://", "http:///x", "http://b.a/" + "y" * 5000, "://bad.net/p\nq", "HTTP://BAD.NET/p"] + urls[:20]
+    rules = [*url_filter.RULES, ("allow", "b.a", "/X/"), ("block", "b.a", "/X/"), ("allow", "a.b.a", ""), ("block", "é.org", "/ß")]
+    df = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string").repartition(3)
+    extra = [f"filler{i}.net/{i}" for i in range(50)]
+    listed = LISTED + extra if kind == "list" else spark.createDataFrame([(x,) for x in LISTED + extra + LISTED], "entry string")
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filter.filter_urls(df, rules=rules, listed=listed, limit=limit).collect()}
+    want = {i: judged_by_hand(u, rules, LISTED) for i, u in enumerate(urls)}
+    assert got == want
+    assert len({w[2] for w in want.values()}) > 5 and sum(w[2] is None and w[3] == "block" for w in want.values()) > 20
+    assert url_filter.filter_urls(df.where("false"), listed=listed, limit=limit).count() == 0
+    empty = [] if kind == "list" else listed.where("false")
+    assert {x.page_id: x.verdict for x in url_filter.filter_urls(df, rules=[], listed=empty, limit=limit).collect()} == dict.fromkeys(range(len(urls)), "allow")
 
 
 def test_digest_index_confirms_strings():
@@ -248,8 +280,8 @@ def test_digest_index_confirms_strings():
 
     same = np.full(2, index.digests[0])  # both probes claim the digest of one stored string
     stored = index.string(0)
-    assert index.find([stored, b"zz"], same).tolist() == [True, False]
-    assert url_filter.DigestIndex(url_filter.build_index([])).find([b"x"]).tolist() == [False]
+    assert index.place([stored, b"zz"], same).tolist() == [0, -1]
+    assert url_filter.DigestIndex(url_filter.build_index([])).place([b"x"]).tolist() == [-1]
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 0])
