@@ -5,6 +5,7 @@ A shard holds the documents of a range of keys in ascending order.  Its file is,
 * 8 uint64: magic, documents, distinct keys, ids, levels, words of bits, bytes of an id (2 or 4), 0
 * uint64[levels]: positions of each level of the hash
 * uint64[words]: the levels' bits, one after another
+* uint32[words]: the bits set before each word
 * uint32[keys]: fingerprint of each key, by hash value
 * uint32[keys]: the first document of each key, by hash value
 * uint64[documents + 1]: where each document's ids start
@@ -13,14 +14,19 @@ A shard holds the documents of a range of keys in ascending order.  Its file is,
 
 The hash is built level by level: a key goes to a position of the level, positions with one key are
 kept, and the others' keys go to the next level; the rank of a key's bit is its value.  A lookup tests one bit
-a level, ranks it, compares the 32-bit fingerprint, then the stored key: constant time in the number of documents.
+a level, ranks it by the stored count and the bits of one word, compares the 32-bit fingerprint, then the stored key: nothing of the
+file is read besides, so it takes constant time in the number of documents.
 
-Shards are written by tasks through the file system of the shared folder under a name of their own and
+Beside the shards the folder holds ``manifest``, a Parquet table of them with the first key of each: ``Reader`` maps a key to its shard by
+these bounds, and to its ids by the shard's hash.
+
+Rows are dealt by ranges of (key, hash of the text), so many rows of one key are many shards' work as well.  Shards are encoded and written by
+tasks through the file system of the folder under a name of their own and
 then renamed, so a task that runs again writes the same file again and a lost executor costs nothing that is done.
 
 Defined cases: null or empty text: only the end id; a null key sorts first and can be looked up as None; repeated keys
-stand side by side, ordered by their ids, and a lookup gives the first; an empty table writes no file and
-gives an empty table; tokenisers of up to 2**32 ids.
+stand side by side, ordered by hash of text and text, and a lookup gives the first; an empty table writes no file and
+gives an empty table; other columns play no part; tokenisers of up to 2**32 ids.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +43,7 @@ from ._jobs import materialise, shared_folder, small_batches
 from ._text import BLOCK, SPACE_WORD, WordCache, blocks, distinct, gather, mix, ragged, words
 from .bpe import LETTER, NUMBER, char_classes
 
-MAGIC = 0x3153444954564953
+MAGIC = 0x3253444954564953
 SHARD_BYTES = 12 << 20  # bytes of text for each shard
 U64 = np.uint64
 
@@ -67,11 +74,16 @@ def build_hash(keys: np.ndarray) -> tuple[list[int], np.ndarray]:
 
 
 class Index:
-    """Lookup of keys by the levels of ``build_hash``."""
+    """Lookup of keys by the levels of ``build_hash``, as words of 64 bits and the number of bits set before each word."""
+
+    def __init__(self, sizes: list[int], words: np.ndarray, before: np.ndarray):
+        self.sizes, self.words, self.before = sizes, words, before
 
-    def __init__(self, sizes: list[int], bits: np.ndarray):
-        self.sizes, self.bits = sizes, bits
-        self.rank = np.concatenate([[0], np.cumsum(bits)])
+    @classmethod
+    def of(cls, sizes: list[int], bits: np.ndarray) -> Index:
+        words = np.packbits(bits, bitorder="little").view("<u8")
+        count = np.bitwise_count(words)
+        return cls(sizes, words, (np.cumsum(count, dtype=np.int64) - count).astype("<u4"))
 
     def value(self, keys: np.ndarray) -> np.ndarray:
         """Hash value of each key, -1 if none of its bits is set (then it isn't a key)."""
@@ -79,8 +91,10 @@ class Index:
         open_, base = np.arange(len(keys)), 0
         for level, size in enumerate(self.sizes):
             p = base + _position(keys[open_], level, size)
-            hit = self.bits[p]
-            out[open_[hit]] = self.rank[p[hit]]
+            word, bit = self.words[p >> 6], (p & 63).astype(U64)
+            hit = (word >> bit & U64(1)).astype(bool)
+            below = np.bitwise_count(word & ((U64(1) << bit) - U64(1)))
+            out[open_[hit]] = self.before[p[hit] >> 6].astype(np.int64) + below[hit]
             open_ = open_[~hit]
             base += size
         return out
@@ -103,20 +117,20 @@ def pack(keys: list, payloads: list[np.ndarray], width: int = 4) -> bytes:
     """File image of documents given in their order; ``width``: bytes of an id."""
     pattern, null = _patterns(keys)
     hashed = _hashed(pattern, null)
-    distinct, first = np.unique(hashed, return_index=True)
-    sizes, bits = build_hash(distinct)
-    value = Index(sizes, bits).value(distinct)
-    prints, slots = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.uint32)
-    prints[value], slots[value] = _fingerprint(distinct), first
+    keys_, first = np.unique(hashed, return_index=True)
+    sizes, bits = build_hash(keys_)
+    index = Index.of(sizes, bits)
+    value = index.value(keys_)
+    prints, slots = np.zeros(len(keys_), np.uint32), np.zeros(len(keys_), np.uint32)
+    prints[value], slots[value] = _fingerprint(keys_), first
     start = np.concatenate([[0], np.cumsum([len(p) for p in payloads])]).astype(U64)
-    packed = np.packbits(bits, bitorder="little")
-    head = np.array([MAGIC, len(keys), len(distinct), int(start[-1]), len(sizes), len(packed) // 8, width, 0], U64)
+    head = np.array([MAGIC, len(keys), len(keys_), int(start[-1]), len(sizes), len(index.words), width, 0], U64)
     body = np.concatenate([np.zeros(0, np.uint32), *payloads]).astype(f"<u{width}")
-    return b"".join(x.tobytes() for x in (head, np.array(sizes, U64), packed, prints, slots, start, pattern, null.astype(np.uint8), body))
+    return b"".join(x.tobytes() for x in (head, np.array(sizes, U64), index.words, index.before, prints, slots, start, pattern, null.astype(np.uint8), body))
 
 
 class Shard:
-    """A shard's file image, read in place."""
+    """A shard's file image, read in place: only the head is looked at before a lookup."""
 
     def __init__(self, image):
         head = np.frombuffer(image, U64, 8)
@@ -132,10 +146,10 @@ class Shard:
             return out
 
         sizes = take(U64, levels).astype(np.int64).tolist()
-        self.index = Index(sizes, np.unpackbits(take(np.uint8, 8 * w), bitorder="little").astype(bool))
+        self.index = Index(sizes, take("<u8", w), take("<u4", w))
         self.prints, self.slots = take(np.uint32, k), take(np.uint32, k)
-        self.start = take(U64, n + 1).astype(np.int64)
-        self.pattern, self.null = take(U64, n), take(np.uint8, n).astype(bool)
+        self.start = take(np.int64, n + 1)
+        self.pattern, self.null = take(U64, n), take(np.bool_, n)
         self.payload = take(f"<u{width}", ids)
 
     def find(self, keys: list) -> np.ndarray:
@@ -252,10 +266,15 @@ def _encoder(path: str) -> WordEncoder:
 # ---- jobs ------------------------------------------------------------------------------------
 
 
-def _put(folder: str, name: str, image: bytes) -> None:
+def _store(folder: str):
+    """(file system, path) of a folder with a scheme."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return fs.FileSystem.from_uri(folder)
+
+
+def _put(folder: str, name: str, image: bytes) -> None:
+    store, path = _store(folder)
     store.create_dir(path, recursive=True)
     own = f"{path}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(own) as f:
@@ -263,58 +282,95 @@ def _put(folder: str, name: str, image: bytes) -> None:
     store.move(own, f"{path}/{name}")
 
 
+def qualified(spark, folder: str) -> str:
+    """A folder with the scheme of Spark's file system for it, for readers other than Spark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def write_token_files(df, path: str, folder: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES):
-    """Encode and write every row; gives a table of shards (shard, documents, ids), already computed.
+    """Encode and write every row; gives the written table of shards (shard, documents, ids, first_key).
 
-    Shards are ranges of the key: bounds come from quantiles of the keys alone, so texts are neither read nor
-    encoded for them, and only ids are shuffled.  The key must be an integer column.
+    The key must be an integer column.  Texts are shuffled once, by ranges that Spark draws from a bounded sample of keys.
     """
     from pyspark.sql import functions as F
 
+    spark = df.sparkSession
+    folder = qualified(spark, folder)
     size = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     shards = max(1, min(-(-size["b"] // shard_bytes), size["n"] or 1))
-    bounds = sorted(set(df.stat.approxQuantile(id_col, [i / shards for i in range(1, shards)], 0.1 / shards))) if shards > 1 else []
-    # quantiles are doubles; what matters is only that equal keys and the order of keys go together
-    shared = df.sparkSession.sparkContext.broadcast(np.array([int(b) for b in bounds], np.int64))
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    dealt = rows.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order)
+
+    def write(batches):
+        from pyspark import TaskContext
 
-    def tokens(batches):
         encoder = _encoder(path)
+        end = np.array([] if end_id is None else [end_id], np.uint32)
+        keys, payloads = [], []
         for batch in batches:
             for block, data, offsets in blocks(batch, "text", BLOCK // 2):
                 ids, n = encoder.encode(data, offsets)
-                keys = block.column(0)
-                at = np.searchsorted(shared.value, np.array(keys.fill_null(-(1 << 63))).astype(np.int64), "right").astype(np.int32)
-                edge = np.concatenate([[0], np.cumsum(n)])
-                raw = ids.astype(f"<u{encoder.width}")
-                offs = (edge * raw.itemsize).astype(np.int64)
-                payload = pa.LargeBinaryArray.from_buffers(pa.large_binary(), block.num_rows, [None, pa.py_buffer(offs), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([pa.array(at), keys, payload.cast(pa.binary())], names=["shard", "id", "payload"])
-
-    encoded = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tokens, "shard int, id long, payload binary")
-    dealt = encoded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "payload")
-
-    def write(batches):
-        width = _encoder(path).width
-        end = np.array([] if end_id is None else [end_id], np.uint32)
-        own, keys, payloads = None, [], []
-
-        def flush():
-            _put(folder, f"shard-{own:08d}.tok", pack(keys, payloads, width))
-            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([sum(map(len, payloads))], pa.int64())], names=["shard", "documents", "ids"])
-
-        for batch in batches:
-            for shard, key, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if shard != own:
-                    if keys:
-                        yield flush()
-                    own, keys, payloads = shard, [], []
-                keys.append(key)
-                payloads.append(np.concatenate([np.frombuffer(raw, f"<u{width}").astype(np.uint32), end]))
+                keys += block.column(0).to_pylist()
+                payloads += [np.concatenate([x, end]).astype(f"<u{encoder.width}") for x in np.split(ids, np.cumsum(n)[:-1])]
         if keys:
-            yield flush()
-
-    with small_batches(df.sparkSession, 2000):
-        return materialise(dealt.mapInArrow(write, "shard int, documents long, ids long"), "shards")
+            own = TaskContext.get().partitionId()
+            _put(folder, f"shard-{own:08d}.tok", pack(keys, payloads, encoder.width))
+            columns = [pa.array([own], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([sum(map(len, payloads))], pa.int64()), pa.array(keys[:1], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "documents", "ids", "first_key"])
+
+    with small_batches(spark, 2000):
+        dealt.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+
+
+MANIFEST = "shard long, documents long, ids long, first_key long"
+
+
+class Reader:
+    """Keyed access to a folder of token-id files: ``get`` gives the ids of documents by their keys."""
+
+    def __init__(self, folder: str, keep: int = 64):
+        from pyarrow import parquet
+
+        self.store, self.path = _store(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
+        rows = parquet.read_table(f"{self.path}/manifest", filesystem=self.store, columns=["shard", "first_key"]).sort_by("shard")
+        self.shards = rows.column("shard").to_pylist()
+        self.bounds = [self._order(k) for k in rows.column("first_key").to_pylist()]
+        self.keep, self.open = keep, {}
+
+    @staticmethod
+    def _order(key: int | None) -> tuple[bool, int]:
+        return key is not None, key or 0
+
+    def _shard(self, i: int) -> Shard:
+        if i not in self.open:
+            if len(self.open) >= self.keep:
+                del self.open[next(iter(self.open))]
+            name = f"{self.path}/shard-{self.shards[i]:08d}.tok"
+            local = self.store.type_name == "local"
+            with pa.memory_map(name) if local else self.store.open_input_file(name) as f:
+                self.open[i] = Shard(f.read_buffer())
+        return self.open[i]
+
+    def get(self, keys: list[int | None]) -> list[np.ndarray | None]:
+        """The ids of each key's first document, None for keys that aren't there."""
+        out: list = [None] * len(keys)
+        asked: dict[int, list[int]] = {}
+        for j, key in enumerate(keys):
+            i = bisect_left(self.bounds, self._order(key))  # the first shard that starts at the key or after it
+            if i < len(self.bounds) and self.bounds[i] == self._order(key):
+                asked.setdefault(i, []).append(j)
+            if i:
+                asked.setdefault(i - 1, []).append(j)  # the one before may end with the key
+        for i in sorted(asked):
+            shard = self._shard(i)
+            for j, document in zip(asked[i], shard.find([keys[j] for j in asked[i]]).tolist()):
+                if document >= 0 and out[j] is None:
+                    out[j] = shard.ids(document)
+        return out
 
 
 def read_token_files(spark, folder: str, id_col: str = "doc_id"):
@@ -342,10 +398,14 @@ def read_token_files(spark, folder: str, id_col: str = "doc_id"):
                 )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder).select("path", "content")
-    found = files.mapInArrow(run, f"shard long, `{id_col}` long, at long, n_tokens long, ids_crc32 long")
-    # one row a shard: a small table, whose running sum gives each shard's start
-    totals = found.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    base = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
+    with small_batches(spark, 4):
+        found = materialise(files.mapInArrow(run, f"shard long, `{id_col}` long, at long, n_tokens long, ids_crc32 long"), "found")
+    # starts of shards in two steps, neither of which sees a row for each document: blocks of shards, then shards in their block
+    totals = found.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.shiftright("shard", 12))
+    blocks_ = totals.groupBy("block").agg(F.sum("n").alias("n"))
+    blocks_ = blocks_.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("shard")) - F.col("n")
+    base = totals.select("shard", "block", inside.alias("inside")).join(blocks_, "block").select("shard", (F.col("before") + F.col("inside")).alias("base"))
     return found.join(base, "shard").select(id_col, (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

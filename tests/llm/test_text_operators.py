@@ -136,6 +136,32 @@ def test_token_files_in_many_shards_with_null_and_repeated_keys(spark):
     out = token_files.read_token_files(spark, folder).orderBy("start").collect()
     assert [r.doc_id for r in out] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0) if k is not None else (False, 0))
     assert [r.start for r in out] == [sum(x.n_tokens for x in out[:i]) for i in range(len(out))]
+    model = token_files._encoder(path).model
+    reader = token_files.Reader(token_files.qualified(spark, folder), keep=3)
+    asked = [299, None, -5, 0, 300, 17, *range(0, 300, 11), -6, 2**40]
+    texts = dict(reversed(rows)) | {None: "null key"}
+    for key, ids in zip(asked, reader.get(asked)):
+        if key not in texts:
+            assert ids is None
+        elif key == 17:
+            assert ids.tolist() in [[*model.encode(t, add_special_tokens=False).ids, 1] for t in ("again", "text 17 " * 3)]
+        else:
+            assert ids.tolist() == [*model.encode(texts[key], add_special_tokens=False).ids, 1]
+
+
+def test_many_rows_of_one_key_are_many_shards(spark):
+    path = tokenizer("word_bpe_49k.json")
+    rows = [(7 if i % 3 else i, f"number {i} " * 5, "x") for i in range(400)] + [(None, f"null {i}", "y") for i in range(200)] + [(7, "same", "z")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(4)
+    folder = token_files.shared_folder(spark) + "/one"
+    shards = token_files.write_token_files(df, path, folder, shard_bytes=1500).orderBy("shard").collect()
+    assert sum(r.first_key == 7 for r in shards) > 2 and sum(r.first_key is None for r in shards) > 1
+    out = token_files.read_token_files(spark, folder).orderBy("start").collect()
+    assert sorted(((r.doc_id is not None, r.doc_id or 0) for r in out)) == [(r.doc_id is not None, r.doc_id or 0) for r in out] and len(out) == len(rows)
+    reader = token_files.Reader(token_files.qualified(spark, folder))
+    first = next(r for r in out if r.doc_id == 7)
+    assert zlib.crc32(reader.get([7])[0].astype("<u4").tobytes()) == first.ids_crc32
+    assert reader.get([8, 6, None])[0] is None and reader.get([6])[0] is not None and reader.get([None])[0] is not None
 
 
 def test_perfect_hash():
