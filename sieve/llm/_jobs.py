@@ -8,11 +8,13 @@ from contextlib import contextmanager
 
 
 def shared_folder(spark) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here where none is configured (as in tests)."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it isn't set, as in tests, a local session gets one; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not context.isLocal():
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         folder = context.getCheckpointDir().get()
     return folder.rstrip("/")
