@@ -246,9 +246,13 @@ class WordEncoder:
         """Ids of a block of texts, and how many each text has."""
         start, end, first = words(data, offsets, SPACE_WORD)
         found = distinct(data, start, end)
-        s, z = found.start, found.size
-        count = self.pretokens(data, s, s + z)
-        rows = self.cache.rows(found, lambda new: self._words(gather(data, s[new], z[new]).to_pylist(), count[new]))
+
+        def unknown(new):
+            size = found.size[new]
+            own, stop = data[ragged(found.start[new], size)], np.cumsum(size)
+            return self._words(gather(own, stop - size, size).to_pylist(), self.pretokens(own, stop - size, stop))
+
+        rows = self.cache.rows(found, unknown)
         ids, size = self.cache.ids(rows[found.entry])
         total = np.concatenate([[0], np.cumsum(size)])
         return ids, np.diff(total[first])
