@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+from . import topk
 from .topk import top_k, top_per_group
 
 
@@ -48,9 +50,17 @@ def share_quota(counts: DataFrame, group: str, k: int, fill: bool = False) -> Da
 
 def quota_then_best(df: DataFrame, group: str, quotas: DataFrame, k: int, score: Column, ties: list[str]) -> DataFrame:
     """Each group's quota of its best rows, topped up to k with the best rows that are left, whatever their group."""
-    chosen = top_per_group(df, group, quotas.select(group, "_quota"), score, ties)
-    short = k - chosen.count()
-    if short <= 0:
-        return top_k(chosen, k, score, ties)
-    rest = df.join(chosen.select(*ties), ties, "left_anti")
-    return chosen.unionByName(top_k(rest, short, score, ties))
+    n = df.count()
+    if n > topk.SMALL:
+        chosen = shared.settled(top_per_group(df, group, quotas.select(group, "_quota"), score, ties, large=True))
+        short = k - chosen.count()
+        if short <= 0:
+            return top_k(chosen, k, score, ties)
+        rest = df.join(chosen.select(*ties), ties, "left_anti")
+        return chosen.unionByName(top_k(rest, short, score, ties))
+    # one pass: rows inside their group's quota first, then all by score
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(score.desc_nulls_last(), *ties))
+    ranked = df.withColumn("_rn", rank).join(quotas.select(group, "_quota"), group, "left")
+    inside = F.coalesce(F.col("_rn") <= F.col("_quota"), F.lit(False))
+    best = ranked.withColumn("_in", inside).orderBy(F.col("_in").desc(), score.desc_nulls_last(), *ties).limit(k)
+    return best.select(*df.columns)

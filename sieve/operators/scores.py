@@ -10,40 +10,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
-from ..functions.text import tokens
+from ..sources import shared
 
+COMMON = 100_000
 
-def token_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, token, c): occurrences of each token of each row."""
-    return df.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("c"))
+
+def occurrences(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """One row for each token of each text, with the columns ``keep``."""
+    words = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+")
+    return df.select(*keep, F.explode(words).alias("token")).where(F.col("token") != "")
+
+
+def looked_up(own: DataFrame, words: DataFrame, how: str = "inner") -> DataFrame:
+    """Occurrences joined with a settled table by token; ``words`` has the count ``n``.
+
+    A small table is broadcast.  Of a larger one the ``COMMON`` most frequent tokens are, as every text holds them, and only the other occurrences move.
+    """
+    table = shared.small(words, "token")
+    if table is not words:
+        return own.join(table, "token", how)
+    common = F.broadcast(words.orderBy(F.desc("n"), "token").limit(COMMON))
+    rare = own.join(common.select("token"), "token", "left_anti")
+    return own.join(common, "token").unionByName(rare.join(words, "token", how))
 
 
 def unigram_perplexity(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, pppl): exp of the mean negative log-probability under the corpus' own add-1 unigram model; null for blank texts."""
-    own = token_counts(df, id_col, text_col)
-    vocab = own.groupBy("token").agg(F.sum("c").alias("n"))
-    size = vocab.agg(F.sum("n").alias("_all"), F.count("*").alias("_types"))
-    scored = own.join(vocab, "token").crossJoin(F.broadcast(size))  # size: one row
-    logp = F.log((F.col("n") + 1) / (F.col("_all") + F.col("_types")))
-    per_row = scored.groupBy(id_col).agg((F.sum(F.col("c") * logp) / F.sum("c")).alias("_mean"))
+    own = occurrences(df, text_col, id_col)
+    vocab = shared.settled(own.groupBy("token").agg(F.count("*").alias("n")))
+    size = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count("*").alias("types")).first()
+    logp = F.log((F.col("n") + 1) / F.lit(float(size["all"] + size["types"])))
+    per_row = looked_up(own, vocab).groupBy(id_col).agg(F.avg(logp).alias("_mean"))
     return df.select(id_col).join(per_row, id_col, "left").select(id_col, F.exp(-F.col("_mean")).alias("pppl"))
 
 
+def _snapshots(train: DataFrame, df: DataFrame, id_col: str, text_col: str, label_col: str, parts: list) -> DataFrame:
+    """(id, p0, p1, ...): the probability of label 1 under naive Bayes trained on each part, a condition on the rows of ``train``.
+
+    One scan counts the tokens for all parts and one scan scores for all parts.
+    """
+    marks = [f"_in{t}" for t in range(len(parts))]
+    marked = train.select(label_col, text_col, *[p.alias(m) for p, m in zip(parts, marks)])
+    of = [(F.col(label_col) == 1, "n1"), (F.col(label_col) == 0, "n0"), (F.lit(True), "m")]
+    words = occurrences(marked, text_col, label_col, *marks).groupBy("token")
+    words = shared.settled(words.agg(F.count("*").alias("n"), *[F.count_if(F.col(m) & is_).alias(f"{name}_{t}") for t, m in enumerate(marks) for is_, name in of]))
+    sums = words.agg(*[x for t in range(len(parts)) for x in (F.sum(f"n1_{t}").alias(f"s1_{t}"), F.sum(f"n0_{t}").alias(f"s0_{t}"), F.count_if(F.col(f"m_{t}") > 0).alias(f"types_{t}"))]).first()
+    priors = marked.agg(*[F.log((F.count_if(F.col(m) & (F.col(label_col) == 1)) + 1) / (F.count_if(F.col(m) & (F.col(label_col) == 0)) + 1)).alias(m) for m in marks]).first()
+    ratios = []
+    for t in range(len(parts)):
+        s1, s0, types = (float(sums[f"{x}_{t}"] or 0) for x in ("s1", "s0", "types"))
+        more = [F.log((F.coalesce(f"{x}_{t}", F.lit(0)) + 1) / F.lit(max(1.0, s + types))) for x, s in (("n1", s1), ("n0", s0))]
+        ratios.append(F.avg(more[0] - more[1]).alias(f"_r{t}"))
+    per_row = looked_up(occurrences(df, text_col, id_col), words, "left").groupBy(id_col).agg(*ratios, F.count("*").alias("_n"))
+    logits = [F.coalesce(F.col(f"_r{t}") + F.lit(priors[m]) / F.col("_n"), F.lit(priors[m])) for t, m in enumerate(marks)]
+    return df.select(id_col).join(per_row, id_col, "left").select(id_col, *[(1 / (1 + F.exp(-x))).alias(f"p{t}") for t, x in enumerate(logits)])
+
+
 def naive_bayes(train: DataFrame, df: DataFrame, id_col: str = "id", text_col: str = "text", label_col: str = "label") -> DataFrame:
     """(id, p1): probability of label 1 by add-1 multinomial naive Bayes; the log ratio is divided by the tokens before the sigmoid.
 
     Without that division long texts saturate.  A row without tokens gets the prior.
     """
-    counts = train.select(F.col(label_col), F.explode(tokens(F.col(text_col))).alias("token"))
-    words = counts.groupBy("token").agg(F.count_if(F.col(label_col) == 1).alias("n1"), F.count_if(F.col(label_col) == 0).alias("n0"))
-    sums = words.agg(F.sum("n1").alias("_s1"), F.sum("n0").alias("_s0"), F.count("*").alias("_types"))
-    prior = train.agg(F.log((F.count_if(F.col(label_col) == 1) + 1) / (F.count_if(F.col(label_col) == 0) + 1)).alias("_prior"))
-    own = token_counts(df, id_col, text_col).join(words, "token", "left").crossJoin(F.broadcast(sums))  # one row
-    ratio = F.log((F.coalesce("n1", F.lit(0)) + 1) / (F.col("_s1") + F.col("_types"))) - F.log((F.coalesce("n0", F.lit(0)) + 1) / (F.col("_s0") + F.col("_types")))
-    per_row = own.groupBy(id_col).agg((F.sum(F.col("c") * ratio) / F.sum("c")).alias("_r"), F.sum("c").alias("_n"))
-    joined = df.select(id_col).join(per_row, id_col, "left").crossJoin(F.broadcast(prior))
-    logit = F.coalesce(F.col("_r") + F.col("_prior") / F.col("_n"), F.col("_prior"))
-    return joined.select(id_col, (1 / (1 + F.exp(-logit))).alias("p1"))
+    return _snapshots(train, df, id_col, text_col, label_col, [F.lit(True)]).select(id_col, F.col("p0").alias("p1"))
 
 
 def binary_entropy(p1: str = "p1"):
@@ -62,15 +90,9 @@ def el2n_scores(df: DataFrame, id_col: str = "id", text_col: str = "text", label
 
     Stands for the error early in training.  ``visited`` < 1 scores only that share of the rows; the others get 0.
     """
-    marked = df.withColumn("_fold", fold(id_col, seed, snapshots))
-    parts = []
-    for t in range(1, snapshots + 1):
-        p = naive_bayes(marked.where(F.col("_fold") < t), df, id_col, text_col, label_col)
-        parts.append(p.join(df.select(id_col, label_col), id_col).select(id_col, (F.sqrt(F.lit(2.0)) * F.abs(F.col(label_col) - F.col("p1"))).alias("e")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    mean = every.groupBy(id_col).agg(F.avg("e").alias("el2n"))
+    p = _snapshots(df, df, id_col, text_col, label_col, [fold(id_col, seed, snapshots) < t for t in range(1, snapshots + 1)])
+    errors = [F.sqrt(F.lit(2.0)) * F.abs(F.col(label_col) - F.col(f"p{t}")) for t in range(snapshots)]
+    mean = p.join(df.select(id_col, label_col), id_col).select(id_col, (sum(errors[1:], errors[0]) / snapshots).alias("el2n"))
     if visited < 1:
         mean = mean.join(df.where(fold(id_col, seed, 1000) < int(1000 * visited)).select(id_col), id_col, "left_semi")
     return df.select(id_col).join(mean, id_col, "left").select(id_col, F.coalesce("el2n", F.lit(0.0)).alias("el2n"))
@@ -81,10 +103,10 @@ def wordpiece_ratio(df: DataFrame, id_col: str = "id", text_col: str = "text", v
 
     A word among the corpus' ``vocabulary`` commonest ones is one piece, another one has a piece for every four characters.
     """
-    own = token_counts(df, id_col, text_col)
-    common = own.groupBy("token").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "token").limit(vocabulary).select("token", F.lit(1).alias("_known"))
-    pieces = own.join(F.broadcast(common), "token", "left").withColumn("_p", F.when(F.col("_known") == 1, 1).otherwise(F.ceil(F.length("token") / 4)))
-    per_row = pieces.groupBy(id_col).agg(F.sum(F.col("c") * F.col("_p")).alias("_pieces"), F.sum("c").alias("_words"))
+    own = occurrences(df, text_col, id_col)
+    common = own.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(vocabulary).select("token", F.lit(1).alias("_known"))
+    pieces = F.when(F.col("_known") == 1, 1).otherwise(F.ceil(F.length("token") / 4))
+    per_row = own.join(F.broadcast(common), "token", "left").groupBy(id_col).agg(F.sum(pieces).alias("_pieces"), F.count("*").alias("_words"))
     count = F.col("_pieces") + 2
     ratio = (count if max_length is None else F.least(count, F.lit(max_length))) / F.col("_words")
     return df.select(id_col).join(per_row, id_col, "left").select(id_col, F.coalesce(ratio, F.lit(0.0)).alias("wp_ratio"))

@@ -1,5 +1,7 @@
 """Selection strategies: given scored rows and a budget k, the rows to train on.  Ties go to the lowest id everywhere.
 
+A strategy reads its scores several times (bounds, counts, choice): pass a stored table, or ``settled`` scores, so that they are computed once.
+
 ``SELECTORS`` maps names to functions (df, k, **params) -> chosen rows with all columns of df.
 """
 
@@ -9,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import budget, key_number, order_key
+from ..sources import shared
 from . import greedy
 from .quota import equal_quota, group_counts, largest_remainder_quota, quota_then_best, share_quota
-from .scale import minmax, quantile_band, quantile_floor
+from .scale import minmax, quantile_band, quantile_floor, quantiles
 from .topk import top_k, top_per_group
 
 
@@ -51,7 +54,6 @@ def perplexity(
         parts.append(("_read", F.col(readability_col), readability_weight))
     for name, col, _ in parts:
         band = band.withColumn(name, col.cast("double"))
-    band = band.persist()  # read for the bounds, the count and the choice
     if normalize:
         band = minmax(band, **{name + "s": name for name, _, _ in parts})
     total = sum(F.col(name + "s" * normalize) * w for name, _, w in parts)
@@ -101,12 +103,11 @@ def hybrid_scores(df: DataFrame, ppl: str = "pppl", readability: str = "flesch_r
     """Adds q, i, d and qdi: quality (perplexity, readability), importance (entropy or closeness to the median perplexity) and rarity of the cluster."""
     if importance not in ("median_ppl", "entropy"):
         raise ValueError("importance must be median_ppl or entropy")
-    columns, df = df.columns, df.persist()  # read once for each scaling
-    sizes = df.groupBy(cluster).agg((1.0 / F.count("*")).alias("_rare"))
-    out = df.withColumn("_lp", F.log1p(F.col(ppl))).join(F.broadcast(sizes), cluster)  # clusters are few
+    columns = df.columns
+    sizes = shared.settled(df.groupBy(cluster).agg((1.0 / F.count("*")).alias("_rare")))
+    out = df.withColumn("_lp", F.log1p(F.col(ppl))).join(shared.small(sizes), cluster)
     if importance == "median_ppl":
-        mid = out.agg(F.percentile("_lp", F.lit(0.5)).alias("_mid"))
-        out = out.withColumn("_imp", F.abs(F.col("_lp") - F.lit(mid.first()["_mid"])))
+        out = out.withColumn("_imp", F.abs(F.col("_lp") - F.lit(quantiles(out, "_lp", [0.5])[0])))
     else:
         out = out.withColumn("_imp", F.col(entropy))
     out = minmax(out, _a="_lp", _b=readability, _i="_imp", d="_rare")
@@ -118,7 +119,7 @@ def hybrid_scores(df: DataFrame, ppl: str = "pppl", readability: str = "flesch_r
 
 def hybrid(df: DataFrame, k: int, label: str = "label", id_col: str = "id", quality_cut: float = 0.1, **params) -> DataFrame:
     """Quality, diversity and importance together: rows under a quality quantile go, then label quotas by the joint score, topped up."""
-    scored = hybrid_scores(df, **params).withColumn("qdi", F.round("qdi", 12)).withColumn("q", F.round("q", 12)).persist()
+    scored = shared.settled(hybrid_scores(df, **params).withColumn("qdi", F.round("qdi", 12)).withColumn("q", F.round("q", 12)))
     left = quantile_floor(scored, "q", quality_cut)
     if left.count() <= k:
         return left

@@ -11,7 +11,7 @@ from .functions import text as T
 from .functions.hashing import budget
 from .operators import annotate, clusters, greedy, joins, metrics, profile, quota, scale, scores, selectors, topk
 from .plans import pipeline
-from .sources import tables
+from .sources import shared, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -327,7 +327,7 @@ _BAND = f", b as (select quantile_cont(s, 0.2) lo, quantile_cont(s, 0.8) hi from
 
 def _entropy(spark, sf_dir):
     df, p = _probabilities(spark, sf_dir)
-    return df.join(p, "id").select("id", "label", F.round(scores.binary_entropy(), 9).alias("entropy"))
+    return shared.settled(df.join(p, "id").select("id", "label", F.round(scores.binary_entropy(), 9).alias("entropy")))
 
 
 def _entropy_selection(keep):
@@ -341,7 +341,7 @@ def _entropy_selection(keep):
 
 def _wordpiece_selection(keep):
     def run(spark, sf_dir):
-        df = scores.wordpiece_ratio(tables.documents(spark, sf_dir)).withColumn("wp_ratio", F.round("wp_ratio", 9))
+        df = shared.settled(scores.wordpiece_ratio(tables.documents(spark, sf_dir)).withColumn("wp_ratio", F.round("wp_ratio", 9)))
         return selectors.select("wordpiece_ratio", df, budget(df.count(), 0.1), keep=keep).select("id")
 
     run.__name__ = f"sel_wordpiece_{keep}"
@@ -361,7 +361,7 @@ def _perplexity_rows(spark, sf_dir):
     df = tables.documents(spark, sf_dir)
     t = F.col("text")
     metrics_ = df.select("id", T.word_len(t).alias("token_count"), F.when(T.word_len(t) < 25, 0.0).otherwise(T.ttr(t)).alias("type_token_ratio"), T.flesch_reading_ease(t).alias("flesch_reading_ease"))
-    return joins.with_features(scores.unigram_perplexity(df).withColumn("pppl", F.round("pppl", 6)), metrics_)
+    return shared.settled(joins.with_features(scores.unigram_perplexity(df).withColumn("pppl", F.round("pppl", 6)), metrics_))
 
 
 @query(f"""{_PPL}, m as (select min(-n) ln, max(-n) hn, min(t) lt, max(t) ht from band)
@@ -379,7 +379,7 @@ def sel_perplexity_no_quality(spark, sf_dir):
 
 @query(f"with {_el2n_sql()}, scored as (select id, round(el2n, 9) s from el) select id from scored order by s desc, id limit (select {_K10} from scored)")
 def sel_datadiet(spark, sf_dir):
-    df = scores.el2n_scores(tables.labelled(spark, sf_dir)).withColumn("el2n", F.round("el2n", 9))
+    df = shared.settled(scores.el2n_scores(tables.labelled(spark, sf_dir)).withColumn("el2n", F.round("el2n", 9)))
     return selectors.select("datadiet", df, budget(df.count(), 0.1)).select("id")
 
 
@@ -388,7 +388,7 @@ _CLEAR = f"with {_LABELLED}, {_NB.format(train='labelled', src='labelled')}, sco
 
 def _clear(spark, sf_dir):
     df, p = _probabilities(spark, sf_dir)
-    return joins.aligned(df, p).select("id", "label", F.round("p1", 9).alias("p_clear"))
+    return shared.settled(joins.aligned(df, p).select("id", "label", F.round("p1", 9).alias("p_clear")))
 
 
 @query(_topup_sql(_CLEAR, _EQ, "s"))
@@ -465,7 +465,7 @@ k as (select {_K10} k from s4), scored as (select id, label, s from s4, cut wher
     )
 )
 def sel_hybrid_given_clusters(spark, sf_dir):
-    df = _hybrid_rows(spark, sf_dir).drop("text", "v")
+    df = shared.settled(_hybrid_rows(spark, sf_dir).drop("text", "v"))
     return selectors.select("hybrid_qdi", df, budget(df.count(), 0.1)).select("id", "label")
 
 

@@ -80,6 +80,19 @@ def test_scores(spark):
     assert column(scores.el2n_scores(df, visited=0.0), "el2n") == [0] * 4
 
 
+def test_scores_of_a_vocabulary_too_large_to_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 37}" for j in range(i % 9)) or None, i % 2) for i in range(120)], "id long, text string, label int")
+
+    def all_scores():
+        tables_ = (scores.unigram_perplexity(df), scores.naive_bayes(df, df), scores.el2n_scores(df))
+        return [sorted((r[0], None if r[1] is None else round(r[1], 9)) for r in t.collect()) for t in tables_]
+
+    plain = all_scores()
+    monkeypatch.setattr("sieve.sources.shared.BROADCAST_ROWS", 5)
+    monkeypatch.setattr(scores, "COMMON", 3)
+    assert all_scores() == plain
+
+
 def test_profile(spark):
     df = spark.createDataFrame([(0, "a b", 1, "train"), (1, "a", 0, "train"), (2, "c d e", None, "test")], "id long, text string, label int, split string")
     one = profile.lengths(df).first()

@@ -91,6 +91,26 @@ def test_bracketed_top_k_equals_the_sorted_one(spark, monkeypatch, descending):
     assert ids(topk.top_per_group(df, "g", want, score, ["id"], descending)) == grouped
 
 
+def test_equal_scores_are_bracketed_by_what_breaks_ties(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SMALL", 300)
+    seen = []
+    monkeypatch.setattr(topk.shared, "settled", lambda df, f=topk.shared.settled: seen.append(f(df)) or seen[-1])
+    df = spark.range(20_000).selectExpr("id", "0.5d as s", "1 as g").repartition(6)
+    assert ids(topk.top_k(df, 2_000, F.col("s"), ["id"])) == list(range(2_000))
+    assert seen[-2].count() <= 300  # the rows left to rank
+
+
+def test_exact_quantiles_of_large_columns(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    values = [*r.normal(size=3000).tolist(), *[0.25] * 2000, None, None]
+    df = rows(spark, [(x,) for x in values], "s double").repartition(5)
+    shares = [0.0, 0.1, 0.5, 0.63, 0.9999, 1.0]
+    plain = scale.quantiles(df, "s", shares)
+    monkeypatch.setattr(scale, "SMALL", 200)
+    assert scale.quantiles(df, "s", shares) == pytest.approx(plain, abs=1e-12)
+    assert scale.quantiles(df.where("s is null"), "s", [0.5]) == [None]
+
+
 def test_random_ignores_the_layout(spark):
     df = spark.range(500)
     a, b = ids(selectors.random(df.repartition(1), 50)), ids(selectors.random(df.repartition(9), 50))
