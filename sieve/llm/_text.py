@@ -264,9 +264,9 @@ def slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[str]:
 class WordCache:
     """Ids of the distinct words seen lately: flat arrays, found by 64-bit hash and told apart by their bytes."""
 
-    TEXT = 24 << 20  # bytes of words kept
+    TEXT = 16 << 20  # bytes of words kept
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 300_000):
         self.limit = limit
         self.clear()
 
