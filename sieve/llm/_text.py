@@ -34,7 +34,7 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the hash base and of its inverse modulo 2**64."""
     if len(_powers[0]) <= n:
-        size = max(n + 1, BLOCK + 65536)
+        size = max(n + 1, BLOCK // 2 + 65536)
         for k, base in enumerate((_BASE, _INV_BASE)):
             steps = np.full(size, base, U64)
             steps[0] = 1

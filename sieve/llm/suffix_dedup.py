@@ -50,7 +50,7 @@ U64 = np.uint64
 def _pieces(batch: pa.RecordBatch):
     """(document of each piece, its first byte there, bytes, offsets): blocks, with long texts cut so that pieces share SPAN - 1 bytes."""
     at = 0
-    for block, data, offsets in blocks(batch, "text"):
+    for block, data, offsets in blocks(batch, "text", BLOCK // 2):
         n = block.num_rows
         if len(data) <= 4 * BLOCK or n > 1:
             yield np.arange(at, at + n), np.zeros(n, np.int64), data, offsets
@@ -390,7 +390,7 @@ def removed_bytes(df, id_col: str = "doc_id", text_col: str = "text"):
 
     def run(batches):
         for batch in batches:
-            for block, data, offsets in blocks(batch, "_t"):
+            for block, data, offsets in blocks(batch, "_t", BLOCK // 2):
                 gone = gone_mask(data, offsets, block.column(2))
                 opens = gone.copy()
                 opens[1:] &= ~gone[:-1]
@@ -417,7 +417,7 @@ def remove_repeats(df, id_col: str = "doc_id", text_col: str = "text", chars_col
 
     def run(batches):
         for batch in batches:
-            for block, data, offsets in blocks(batch, text_col):
+            for block, data, offsets in blocks(batch, text_col, BLOCK // 2):
                 gone = gone_mask(data, offsets, block.column(block.num_columns - 1))
                 lead = np.flatnonzero((data & 0xC0) != 0x80)
                 width = np.diff(np.append(lead, len(data)))
