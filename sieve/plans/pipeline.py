@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import budget, pct_tag
-from ..operators import clusters, metrics, scores, selectors
-from ..sources import tables
+from ..operators import clusters, metrics, profile, scale, scores, selectors
+from ..sources import shared, tables
 
 
 @dataclass(frozen=True)
@@ -102,3 +102,75 @@ def overlay(df: DataFrame, points: DataFrame, what: list[Selection]) -> DataFram
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def report(df: DataFrame, top: int = 30) -> DataFrame:
+    """(name, part, value): the facts of a corpus (id, text, label, split) in one table: rows, labels, words, vocabulary, commonest tokens."""
+    rows = shared.settled(profile.with_lengths(df).select("split", "label", "word_len"))
+    words = shared.settled(scores.occurrences(df, "text").groupBy("token").agg(F.count("*").alias("n")))
+
+    def fact(frame: DataFrame, name: str, value, part=None) -> DataFrame:
+        return frame.select(F.lit(name).alias("name"), (F.lit("") if part is None else part.cast("string")).alias("part"), value.cast("double").alias("value"))
+
+    lengths = rows.agg(F.count("*").alias("n"), F.avg("word_len").alias("mean"), F.max("word_len").alias("most"))
+    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("types"))
+    parts = [
+        fact(lengths, "rows", F.col("n")),
+        fact(rows.groupBy("split").count(), "rows", F.col("count"), F.col("split")),
+        fact(rows.groupBy("label").count(), "label", F.col("count"), F.col("label")),
+        fact(lengths, "words_mean", F.col("mean")),
+        fact(scale.median(rows, "word_len"), "words_median", F.col("median")),
+        fact(lengths, "words_max", F.col("most")),
+        fact(size, "tokens", F.col("n")),
+        fact(size, "vocabulary", F.col("types")),
+        fact(words.orderBy(F.desc("n"), "token").limit(top), "token", F.col("n"), F.col("token")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def proxies(df: DataFrame, frac: float = 0.1, score: str = "word_len", seed: int = 42) -> dict[str, DataFrame]:
+    """Three subsets of a share of the rows: the greatest scores, the least, and random rows."""
+    k = budget(df.count(), frac)
+    return {
+        "long": selectors.by_score(df, k, score, "high"),
+        "short": selectors.by_score(df, k, score, "low"),
+        "random": selectors.random(df, k, seed=seed),
+    }
+
+
+def proxy_summary(df: DataFrame, subsets: dict[str, DataFrame], test: DataFrame | None = None) -> DataFrame:
+    """One row a subset: its name, rows and labels, and with ``test`` the metrics of a classifier trained on it."""
+    out = None
+    for name, rows in subsets.items():
+        row = rows.agg(F.lit(name).alias("proxy"), F.count("*").alias("n_train"), F.count_if(F.col("label") == 1).alias("n_1"), F.count_if(F.col("label") == 0).alias("n_0"))
+        if test is not None:
+            row = row.crossJoin(F.broadcast(train_and_evaluate(rows, test)))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def dispatch(config: dict, df: DataFrame, test: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Run the stages that a configuration names, in this order, and give their tables by name.
+
+    ``stages``: of report, features, choose, train; ``select``: fields of ``Selection``; each stage works on what the one before made.
+    """
+    known = ("report", "features", "choose", "train")
+    wanted = config.get("stages", [])
+    if unknown := [s for s in wanted if s not in known]:
+        raise ValueError(f"unknown stages {unknown}; there are {known}")
+    made: dict[str, DataFrame] = {}
+    for stage in [s for s in known if s in wanted]:
+        if stage == "report":
+            made[stage] = report(df)
+        elif stage == "features":
+            made[stage] = df = shared.settled(features(df))
+        elif stage == "choose":
+            made[stage] = df = choose(df, Selection(**config.get("select", {})))
+        elif test is None:
+            raise ValueError("the stage train needs a test table")
+        else:
+            made[stage] = train_and_evaluate(df, test)
+    return made

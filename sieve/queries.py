@@ -416,7 +416,7 @@ def sel_kcenter(spark, sf_dir):
     return greedy.k_center(tables.vectors(spark, sf_dir), 10, start_id=0).select("id", "step")
 
 
-@query()
+@query(ORACLE_SQL["sel_kcenter"])
 def kcenter_distributed(spark, sf_dir):
     return greedy.k_center(tables.vectors(spark, sf_dir), 10, start_id=0, exact=8_000).select("id", "step")
 
@@ -469,12 +469,25 @@ def sel_hybrid_given_clusters(spark, sf_dir):
     return selectors.select("hybrid_qdi", df, budget(df.count(), 0.1)).select("id", "label")
 
 
-@query()
+@query(
+    _topup_sql(
+        f"""with {_LABELLED}, {_COUNTS}, {_UNI.format(src="corpus")}, {_NB.format(train="labelled", src="counts")},
+rows_ as (select c.id, e.label, ln(1 + round(pppl, 6)) lp, round({_ENT}, 9) ent, case when c.words = 0 then 0 else 206.835 - cast(1.015 as double) * (c.words / cast(sents as double)) - cast(84.6 as double) * (syll / cast(greatest(c.words, 1) as double)) end fre
+  from counts c join ppl p using (id) join embeddings e on e.vec_id = c.id join prob on prob.id = c.id),
+a as (select *, 1.0 / count(*) over (partition by label) rare from rows_),
+s1 as (select *, 0.7 * (1 - {_MM.format(x="lp")}) + 0.3 * {_MM.format(x="fre")} q0, {_MM.format(x="ent")} i, {_MM.format(x="cast(rare as double)")} d from a),
+s2 as (select *, {_MM.format(x="q0")} q from s1), s3 as (select *, 0.4 * q + 0.4 * i + 0.2 * d z from s2),
+s4 as (select id, label, round(q, 12) q, round({_MM.format(x="z")}, 12) s from s3), cut as (select quantile_cont(q, 0.1) c from s4),
+k as (select {_K10} k from s4), scored as (select id, label, s from s4, cut where q >= c)""",
+        _LR.format(g="label", src="scored").removeprefix(", "),
+        "s",
+    )
+)
 def sel_hybrid_entropy(spark, sf_dir):
     df = _hybrid_rows(spark, sf_dir)
     labels = tables.labelled(spark, sf_dir)
     p = scores.naive_bayes(labels, df.select("id", "text"))
-    df = df.join(p.select("id", F.round(scores.binary_entropy(), 9).alias("entropy")), "id")
+    df = shared.settled(df.join(p.select("id", F.round(scores.binary_entropy(), 9).alias("entropy")), "id").drop("text", "v"))
     return selectors.select("hybrid_qdi", df, budget(df.count(), 0.1), importance="entropy").select("id", "label")
 
 
@@ -666,3 +679,41 @@ def results_table(spark, sf_dir):
     return tables.results_table(spark)
 
 
+# ---- whole stages ------------------------------------------------------------------------------
+
+
+@query(
+    f"with {_LABELLED}, l as (select id, split, label, len(w) n, w from labelled), t as (select unnest(w) token from l), "
+    "facts as (select 'rows' name, '' part, cast(count(*) as double) value from l union all select 'rows', split, count(*) from l group by split "
+    "union all select 'label', cast(label as varchar), count(*) from l group by label "
+    "union all select 'words_mean', '', avg(n) from l union all select 'words_median', '', quantile_cont(n, 0.5) from l union all select 'words_max', '', max(n) from l "
+    "union all select 'tokens', '', count(*) from t union all select 'vocabulary', '', count(distinct token) from t "
+    "union all select 'token', token, n from (select token, count(*) n from t group by 1 order by n desc, token limit 10)) select name, part, round(value, 6) value from facts"
+)
+def eda_report(spark, sf_dir):
+    return _rounded(pipeline.report(tables.labelled(spark, sf_dir), top=10), "value")
+
+
+@query(
+    f"""with {_LABELLED}, s as (select id, label, len(w) n from labelled), k as (select {_K10} k from s),
+p as (select 'long' proxy, id, label, row_number() over (order by n desc, id) rn from s union all select 'short', id, label, row_number() over (order by n, id) from s union all select 'random', id, label, row_number() over (order by {_KEY}, id) from s)
+select proxy, count(*) n_train, count(*) filter (label = 1) n_1, count(*) filter (label = 0) n_0 from p, k where rn <= k group by 1"""
+)
+def proxy_subsets(spark, sf_dir):
+    df = shared.settled(profile.with_lengths(tables.labelled(spark, sf_dir)))
+    return pipeline.proxy_summary(df, pipeline.proxies(df)).select("proxy", "n_train", "n_1", "n_0")
+
+
+@query()
+def proxy_training(spark, sf_dir):
+    parts = selectors.stratified_split(tables.labelled(spark, sf_dir), 0.2)
+    df = shared.settled(profile.with_lengths(parts))
+    train = df.where("part = 'train'")
+    out = pipeline.proxy_summary(train, pipeline.proxies(train), df.where("part = 'test'"))
+    return _rounded(out, "accuracy", "precision", "recall", "f1", "loss")
+
+
+@query(f"with {_LABELLED} select id, label from labelled order by {_KEY}, id limit (select {_K10} from labelled)")
+def stage_dispatch(spark, sf_dir):
+    made = pipeline.dispatch({"stages": ["choose"], "select": {"name": "random", "frac": 0.1}}, tables.labelled(spark, sf_dir))
+    return made["choose"].select("id", "label")

@@ -212,3 +212,16 @@ def test_wordpiece_ratio_without_a_cap(spark):
     df = texts(spark, "a " * 1000)
     assert column(scores.wordpiece_ratio(df, vocabulary=1), "wp_ratio")[0] == pytest.approx(0.512)
     assert column(scores.wordpiece_ratio(df, vocabulary=1, max_length=None), "wp_ratio")[0] == pytest.approx(1.002)
+
+
+def test_dispatch(spark):
+    df = spark.createDataFrame([(i, f"word{i % 5} and word{i % 3} " * (1 + i % 4), i % 2, "train") for i in range(60)], "id long, text string, label int, split string")
+    made = pipeline.dispatch({"stages": ["train", "features", "choose", "report"], "select": {"name": "datadiet", "frac": 0.5}}, df, df)
+    assert list(made) == ["report", "features", "choose", "train"]
+    assert made["choose"].count() == 30 and made["train"].first()["n"] == 60
+    assert {r["name"] for r in made["report"].collect()} == {"rows", "label", "words_mean", "words_median", "words_max", "tokens", "vocabulary", "token"}
+    assert pipeline.dispatch({}, df) == {}
+    with pytest.raises(ValueError):
+        pipeline.dispatch({"stages": ["evaluate"]}, df)
+    with pytest.raises(ValueError):
+        pipeline.dispatch({"stages": ["train"]}, df)
