@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -28,6 +30,14 @@ def materialise(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark) -> None:
+    """Have Spark delete shuffle files that no table needs any more; it does so when the driver collects garbage, which a quiet driver puts off."""
+    gc.collect()
+    for _ in range(2):
+        time.sleep(1)  # the listeners of the last job hold its plan for a moment
+        spark._jvm.System.gc()
+
+
 @contextmanager
 def small_batches(spark, rows: int = 256):
     """Jobs started inside hand Python at most so many rows at a time: for rows of many kilobytes."""

@@ -37,7 +37,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from ._jobs import materialise, unique_keys
+from ._jobs import materialise, release, unique_keys
 from ._text import BLOCK, Loads, Prefix, blocks, column_bytes, kind, mix, per_doc, ragged
 
 SPAN = 100
@@ -357,6 +357,7 @@ def _with_ranges(df, id_col: str, text_col: str):
     rows = texts.mapInArrow(_anchors, "anchor long, context long, key long, place long")
     marks = rows.repartition("anchor").sortWithinPartitions("anchor", "context", "key", "place").mapInArrow(_classify, "key long, start long, end long, anchor long")
     marks = materialise(marks, "marks")
+    release(df.sparkSession)  # the rows of all anchors are the largest shuffle but that of the texts
     open_ = marks.where("anchor is not null")
     hot = open_.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
     open_ = open_.join(hot, "anchor", "left").select("key", F.struct("start", "end", "anchor", F.coalesce("hot", F.lit(False)).alias("hot")).alias("o"))
