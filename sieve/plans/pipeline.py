@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import responses
 from ..functions import text as T
 from ..functions.hashing import budget, pct_tag
-from ..operators import clusters, metrics, profile, scale, scores, selectors
+from ..operators import annotate, clusters, greedy, metrics, profile, scale, scores, selectors
 from ..sources import shared, tables
 
 
@@ -81,9 +85,27 @@ def sweep(df: DataFrame, what: list[Selection]) -> DataFrame:
     return out
 
 
-def train_and_evaluate(chosen: DataFrame, test: DataFrame) -> DataFrame:
-    """Metrics on ``test`` of a classifier trained on ``chosen``, with the mean log loss."""
+def timed_choice(df: DataFrame, what: Selection) -> tuple[DataFrame, DataFrame]:
+    """The rows of one selection, settled, and one row (strategy, pct, seed, n, k, seconds) of what it took."""
+    began = time.perf_counter()
+    rows = shared.settled(choose(df, what))
+    seconds = time.perf_counter() - began
+    facts = [(what.name, pct_tag(what.frac), what.seed, df.count(), rows.count(), seconds)]
+    return rows, df.sparkSession.createDataFrame(facts, "strategy string, pct string, seed int, n long, k long, seconds double")
+
+
+def train(chosen: DataFrame, path: str | None = None) -> PipelineModel:
+    """A classifier trained on the chosen rows, stored under ``path`` if one is given; a model already there is replaced."""
     model = clusters.text_pipeline().fit(chosen.select("text", F.col("label").cast("double").alias("label")))
+    if path:
+        model.write().overwrite().save(path)
+    return model
+
+
+def evaluate(model: PipelineModel | str, test: DataFrame) -> DataFrame:
+    """Metrics on ``test`` of a classifier, or of the one stored under a path, with the mean log loss."""
+    if isinstance(model, str):
+        model = PipelineModel.load(model)
     out = model.transform(test.select("id", "text", F.col("label").cast("double").alias("label")))
     p1 = vector_to_array("probability")[1]
     rows = out.select(F.col("label").cast("int").alias("label"), F.col("_p").cast("int").alias("predicted"), p1.alias("p"))
@@ -92,6 +114,40 @@ def train_and_evaluate(chosen: DataFrame, test: DataFrame) -> DataFrame:
     return metrics.binary(rows).crossJoin(F.broadcast(rows.agg(loss.alias("loss"), F.count("*").alias("n"))))  # one row each
 
 
+def train_and_evaluate(chosen: DataFrame, test: DataFrame) -> DataFrame:
+    """Metrics on ``test`` of a classifier trained on ``chosen``, with the mean log loss."""
+    return evaluate(train(chosen), test)
+
+
+def metrics_document(rows: DataFrame, what: Selection, path: str | None = None) -> DataFrame:
+    """One JSON text for each row of metrics, with the selection it belongs to; written under ``path`` if one is given."""
+    about = F.struct(F.lit(what.name).alias("strategy"), F.lit(what.frac).alias("frac"), F.lit(what.seed).alias("seed"), F.lit(what.tag).alias("tag"))
+    out = tables.json_document(rows.select(about.alias("selection"), F.struct("*").alias("metrics")))
+    if path:
+        tables.write_table(out, path, "text")
+    return out
+
+
+def clarity(
+    df: DataFrame, judge: Callable[[], Callable], target_frac: float = 0.1, max_pool: int = 5000, vectors: DataFrame | None = None, held_out: float = 0.2, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """A judge's verdicts (0, 1, 2) on a diverse subset, learned by a student that scores all rows: (scores, report).
+
+    ``judge`` is a client as in ``annotate``, from prompts to answers; it sees each row of the subset once, at most ``max_pool`` rows.  ``vectors``
+    (id, v) come from an encoder, or else from ``clusters.embed``.  Scores: (id, p0, p1, p2, pred) of every row.  Report: ``metrics.report`` of the
+    student on the share of the verdicts that it didn't learn from.  Fewer than three different verdicts to learn from are an error.
+    """
+    subset = greedy.diverse_texts(df, target_frac, max_pool, seed=seed).select("id")
+    asked = df.join(F.broadcast(subset), "id", "left_semi").select("id", responses.prompt(F.col("text")).alias("text"))
+    answers = shared.settled(annotate.score_rows(asked, judge, "response string"))
+    judged = answers.select("id", responses.parse_digit(F.col("response")).alias("verdict"))
+    parts = shared.settled(selectors.stratified_split(judged, held_out, "verdict", seed=seed))
+    vectors = shared.settled(clusters.embed(df)) if vectors is None else vectors
+    scored = shared.settled(clusters.student(vectors, parts.where("part = 'train'")))
+    test = parts.where("part = 'test'").join(scored, "id")
+    return scored, metrics.report(test, "verdict", "pred")
+
+
 def overlay(df: DataFrame, points: DataFrame, what: list[Selection]) -> DataFrame:
     """(id, x, y, strategy, selected) for every strategy: the data of a picture."""
     parts = []
@@ -152,6 +208,24 @@ def proxy_summary(df: DataFrame, subsets: dict[str, DataFrame], test: DataFrame
     return out
 
 
+def configuration(spark: SparkSession, path: str, *changes: str) -> dict:
+    """A configuration for ``dispatch`` from a JSON file, with changes such as ``select.frac=0.05``; values are JSON, or else plain text."""
+    config = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))  # one small file
+    for change in changes:
+        name, sep, value = change.partition("=")
+        if not sep:
+            raise ValueError(f"a change is name=value, not {change}")
+        *outer, last = name.split(".")
+        place = config
+        for part in outer:
+            place = place.setdefault(part, {})
+        try:
+            place[last] = json.loads(value)
+        except json.JSONDecodeError:
+            place[last] = value
+    return config
+
+
 def dispatch(config: dict, df: DataFrame, test: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run the stages that a configuration names, in this order, and give their tables by name.
 

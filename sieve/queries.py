@@ -163,7 +163,20 @@ def readability(spark, sf_dir):
     return _rounded(profile.readability_means(tables.documents(spark, sf_dir)), "flesch_reading_ease", "smog_index", "flesch_kincaid_grade")
 
 
-@query()
+@query(
+    f"""with recursive {_CORPUS}, both_ways as (select id, 0 dir, w from corpus union all select id, 1, list_reverse(w) from corpus),
+tok as (select id, dir, unnest(w) token, unnest(range(1, len(w) + 1)) pos from both_ways),
+earlier as (select id, dir, list(coalesce(last, 0) order by pos) before, count(*) n from (select id, dir, pos, lag(pos) over (partition by id, dir, token order by pos) last from tok) group by id, dir),
+fold(id, dir, n, pos, start, types, factors) as (
+  select id, dir, n, 0::bigint, 1::bigint, 0::bigint, 0::bigint from earlier
+  union all
+  select id, dir, n, pos, case when full_ then pos + 1 else start end, case when full_ then 0 else types end, factors + cast(full_ as int)
+  from (select *, types / cast(pos - start + 1 as double) <= cast(0.72 as double) full_
+    from (select id, dir, f.n, pos + 1 pos, start, types + cast(before[pos + 1] < start as int) types, factors from fold f join earlier using (id, dir) where pos < f.n))),
+ways as (select id, n, factors + case when start <= n then (1 - types / cast(n - start + 1 as double)) / (1 - cast(0.72 as double)) else 0 end f from fold where pos = n),
+m as (select id, avg(case when f > 0 then n / f else n end) mtld from ways where n > 1 group by id)
+select corpus.id, round(coalesce(mtld, 0), 6) mtld from corpus left join m using (id)"""
+)
 def mtld(spark, sf_dir):
     return _rounded(tables.documents(spark, sf_dir).select("id", T.mtld()(F.col("text")).alias("mtld")), "mtld")
 
@@ -549,7 +562,20 @@ def lev_unique_per_class(spark, sf_dir):
     return topk.top_per_group(found, "label", quotas, F.col("min_lev_dist"), ["id"]).select("id", "label", "min_lev_dist")
 
 
-@query()
+#: the distance function counts bytes, so letters beyond ASCII become one byte each
+_LEV = "levenshtein({a}, {b}) / cast(greatest(length({a}), length({b}), 1) as double)"
+
+
+@query(
+    f"""with recursive one as (select string_agg(chr(cast(i as int)), '' order by i) bytes from range(1, 32) r(i) where i not in (9, 10, 13)),
+e as (select item_id id, translate(coalesce(text, ''), 'ÄÇÈÉÊÑÖÜßàáâäçèéêëíîñóôöùúûü', bytes) t from benchmark, one), size as (select count(*) n, greatest(1, cast(round_even(0.1 * count(*), 0) as bigint)) k from e),
+go(step, pick, near) as (
+  select 0, s.id, (select list({{'id': e.id, 't': e.t, 'd': {_LEV.format(a='e.t', b='s.t')}}} order by e.id) from e) from (select id, t from e order by {_KEY}, id limit 1) s
+  union all
+  select step + 1, best.id, list_transform(near, lambda x: {{'id': x.id, 't': x.t, 'd': least(x.d, {_LEV.format(a='x.t', b='best.t')})}})
+  from (select step, near, list_aggregate(list_filter(near, lambda x: x.d = list_max(list_transform(near, lambda y: y.d))), 'first') best from go, size where step < k - 1) where best.d > 0)
+select pick id, cast(case when n <= k then -1 else step end as int) step from go, size"""
+)
 def lev_fps(spark, sf_dir):
     df = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     return greedy.diverse_texts(df)
@@ -626,6 +652,26 @@ def student_clarity(spark, sf_dir):
     return _rounded(clusters.student(df, taught), "p0", "p1", "p2")
 
 
+def _length_judge():
+    """Stands in for a judge model: its verdict is the prompt's length modulo 3."""
+    return lambda prompts: [f"Answer: {len(p) % 3}" for p in prompts]
+
+
+def _clarity(spark, sf_dir):
+    df = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return pipeline.clarity(df, _length_judge, target_frac=0.5)
+
+
+@query()
+def clarity_chain(spark, sf_dir):
+    return _rounded(_clarity(spark, sf_dir)[0], "p0", "p1", "p2")
+
+
+@query()
+def embed_documents(spark, sf_dir):
+    return clusters.embed(tables.documents(spark, sf_dir), 8)
+
+
 # ---- metrics, training, sweeps -------------------------------------------------------------------
 
 _PRED = f"with {_LABELLED}, {_NB.format(train='labelled', src='labelled')}, p as (select label, case when round(p1, 9) >= 0.5 then 1 else 0 end predicted from labelled join prob using (id))"
@@ -717,3 +763,14 @@ def proxy_training(spark, sf_dir):
 def stage_dispatch(spark, sf_dir):
     made = pipeline.dispatch({"stages": ["choose"], "select": {"name": "random", "frac": 0.1}}, tables.labelled(spark, sf_dir))
     return made["choose"].select("id", "label")
+
+
+@query(
+    f"with {_LABELLED}, r as (select count(*) n from labelled) select 'random' strategy, 'p10' pct, 42 seed, n, greatest(1, cast(floor(n * cast(0.1 as double)) as bigint)) k, true timed from r "
+    "union all select 'random', 'p05', 7, n, greatest(1, cast(floor(n * cast(0.05 as double)) as bigint)), true from r union all select 'full', 'p10', 42, n, n, true from r"
+)
+def selection_timing(spark, sf_dir):
+    df = tables.labelled(spark, sf_dir)
+    what = [pipeline.Selection("random"), pipeline.Selection("random", 0.05, 7), pipeline.Selection("full")]
+    rows = [pipeline.timed_choice(df, w)[1] for w in what]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("strategy", "pct", "seed", "n", "k", (F.col("seconds") > 0).alias("timed"))

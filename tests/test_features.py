@@ -1,5 +1,6 @@
 """Text features, scores, profile, metrics, parsers, sources and the pipeline's stages."""
 
+import json
 import math
 
 import pytest
@@ -225,3 +226,70 @@ def test_dispatch(spark):
         pipeline.dispatch({"stages": ["evaluate"]}, df)
     with pytest.raises(ValueError):
         pipeline.dispatch({"stages": ["train"]}, df)
+
+
+def test_stored_model_and_metrics_document(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"{'good nice' if i % 2 else 'bad sad'} w{i % 5}", i % 2) for i in range(40)], "id long, text string, label int")
+    rows, took = pipeline.timed_choice(df, pipeline.Selection("random", 0.5))
+    assert rows.count() == 20 and took.first().asDict().items() >= {"strategy": "random", "pct": "p50", "seed": 42, "n": 40, "k": 20}.items()
+    assert took.first().seconds > 0
+    path = f"file://{tmp_path}/model"
+    for _ in range(2):  # the second replaces the first
+        model = pipeline.train(rows, path)
+    stored = pipeline.evaluate(path, df).first()
+    assert stored == pipeline.evaluate(model, df).first() and stored.accuracy == 1
+    text = pipeline.metrics_document(pipeline.evaluate(path, df), pipeline.Selection("random", 0.5), f"file://{tmp_path}/metrics").first().value
+    assert json.loads(text)["selection"]["tag"] == "random_p50_seed42" and json.loads(text)["metrics"]["n"] == 40
+    assert spark.read.text(f"file://{tmp_path}/metrics").first().value == text
+
+
+def test_configuration(spark, tmp_path):
+    path = tmp_path / "config.json"
+    path.write_text(json.dumps({"stages": ["choose"], "select": {"name": "full"}}, indent=2))
+    got = pipeline.configuration(spark, f"file://{path}", "select.name=random", "select.frac=0.5", "select.params.seed=3")
+    assert got == {"stages": ["choose"], "select": {"name": "random", "frac": 0.5, "params": {"seed": 3}}}
+    df = spark.createDataFrame([(i, "t", 1) for i in range(10)], "id long, text string, label int")
+    assert pipeline.dispatch(got, df)["choose"].count() == 5
+    with pytest.raises(ValueError):
+        pipeline.configuration(spark, f"file://{path}", "select.name")
+
+
+def test_clarity_chain(spark, tmp_path):
+    words = ["alpha beta", "gamma delta", "omega sigma"]
+    df = spark.createDataFrame([(i, f"{words[i % 3]} n{i}") for i in range(60)], "id long, text string")
+    vectors = spark.createDataFrame([(i, [float(i % 3 == j) for j in range(3)]) for i in range(60)], "id long, v array<double>")
+    asked = str(tmp_path / "asked")
+
+    def judge():
+        def answers(prompts):
+            with open(asked, "a") as f:
+                f.writelines("x\n" for _ in prompts)
+            return [f"I say {next(k for k, w in enumerate(words) if w in p)}." for p in prompts]
+
+        return answers
+
+    scored, report = pipeline.clarity(df, judge, target_frac=0.4, vectors=vectors)
+    assert {r.id: r.pred for r in scored.collect()} == {i: i % 3 for i in range(60)}
+    assert all(abs(r.p0 + r.p1 + r.p2 - 1) < 1e-9 for r in scored.collect())
+    rows = {r["class"]: r for r in report.collect()}
+    assert rows["accuracy"].f1 == 1 and rows["accuracy"].support == 5
+    with open(asked) as f:
+        assert len(f.readlines()) == 24  # each row of the subset once
+    with pytest.raises(ValueError):
+        pipeline.clarity(df, lambda: lambda prompts: ["1"] * len(prompts), vectors=vectors)
+
+
+def test_embedding_keeps_the_distances_of_the_weighted_counts(spark):
+    import numpy as np
+
+    rows = ["a b c", "a a d", "b c d d", "e", ""]
+    df = texts(spark, *rows)
+    got = np.array(column(clusters.embed(df, 5, features=1 << 10), "v"))
+    types = sorted(set(" ".join(rows).split()))
+    counts = np.array([[t.split().count(w) for w in types] for t in rows], float)
+    weighted = counts * np.log((len(rows) + 1) / ((counts > 0).sum(0) + 1))
+
+    def apart(x):
+        return ((x[:, None] - x[None]) ** 2).sum(2)
+
+    assert np.allclose(apart(got), apart(weighted), atol=1e-9)
