@@ -447,6 +447,21 @@ def sel_herding(spark, sf_dir):
     return greedy.herding(tables.vectors(spark, sf_dir), 10).select("id", "step")
 
 
+_TENTH = f"(select {_K10} from embeddings)"
+
+
+@query(_KCENTER.replace("{{", "{").replace("}}", "}").replace("{k}", _TENTH))
+def sel_kcenter_tenth(spark, sf_dir):
+    df = tables.vectors(spark, sf_dir)
+    return greedy.k_center(df, budget(df.count(), 0.1), start_id=0).select("id", "step")
+
+
+@query(ORACLE_SQL["sel_herding"].replace("step < 9", f"step < {_TENTH} - 1"))
+def sel_herding_tenth(spark, sf_dir):
+    df = tables.vectors(spark, sf_dir)
+    return greedy.herding(df, budget(df.count(), 0.1)).select("id", "step")
+
+
 @query(f"with {_SHARE}, r as (select vec_id id, label, row_number() over (partition by label order by md5('42:' || cast(vec_id as varchar)), vec_id) rn from embeddings) select id, label from r join quota using (label) where rn <= quota")
 def sel_kmeans_given_clusters(spark, sf_dir):
     df = tables.vectors(spark, sf_dir).select("id", "label")
