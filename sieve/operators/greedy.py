@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
 from ..functions.vectors import dot, mean_vector
+from ..sources import shared
 
 EXACT = 20_000_000
 POOL = 4096
+SALTS = 64
 
 
 def _matrix(pdf: pd.DataFrame, id_col: str, vec: str) -> tuple[np.ndarray, np.ndarray]:
@@ -247,13 +249,21 @@ def diverse_texts(df: DataFrame, target_frac: float = 0.1, max_pool: int = 5000,
 def uniqueness(df: DataFrame, peers: int = 200, label: str = "label", id_col: str = "id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """(id, label, min_lev_dist): least edit distance to the label's sampled peers, the row itself left out; 0 without peers.
 
-    Each label's peers are its first ``peers`` rows by order key, so rows meet at most ``peers`` others, not their whole label.
+    Each label's peers are its first ``peers`` rows by order key, so rows meet at most ``peers`` others, not their whole label.  The peers of
+    all labels are broadcast if their measured size allows; else both sides meet by label and salt, so a label's rows are ``SALTS`` groups.
     """
     from .selectors import examples_per_class
 
     sample = examples_per_class(df.select(id_col, label, text_col), peers, label, id_col, seed).select(F.col(label).alias("_l"), F.col(id_col).alias("_p"), F.col(text_col).alias("_t"))
     rows = df.select(id_col, label, text_col).repartition(F.xxhash64(id_col))  # spread before the costly part
-    pairs = rows.join(F.broadcast(sample), (F.col(label) == F.col("_l")) & (F.col(id_col) != F.col("_p")), "left")
+    sample = shared.settled(sample)
+    near = shared.small(sample, "_t")
+    meet = (F.col(label) == F.col("_l")) & (F.col(id_col) != F.col("_p"))
+    if near is sample:
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
+        near = sample.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        meet = meet & (F.col("_salt") == F.col("_s"))
+    pairs = rows.join(near, meet, "left")
     return pairs.groupBy(id_col, label).agg(F.coalesce(F.min(F.when(F.col("_p").isNotNull(), F.levenshtein(F.coalesce(text_col, F.lit("")), F.coalesce("_t", F.lit(""))))), F.lit(0)).alias("min_lev_dist"))
 
 

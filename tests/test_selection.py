@@ -244,6 +244,13 @@ def test_uniqueness(spark):
     assert [(r.id, r.min_lev_dist) for r in greedy.uniqueness(df).orderBy("id").collect()] == [(0, 0), (1, 3), (2, 0), (3, 0), (4, 2), (5, 2)]
 
 
+def test_uniqueness_with_more_peers_than_may_be_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "x" if i % 3 else f"l{i % 2}", f"t{i * 7 % 50}" * (1 + i % 3)) for i in range(90)] + [(90, None, "n"), (91, "x", None)], "id long, label string, text string")
+    want = sorted(map(tuple, greedy.uniqueness(df, 5).collect()), key=lambda r: r[0])
+    monkeypatch.setattr(greedy.shared, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, greedy.uniqueness(df, 5).collect()), key=lambda r: r[0]) == want and len(want) == 92
+
+
 def test_joins(spark):
     df = rows(spark, [(1, "a"), (2, "b"), (3, "a")], "id long, t string")
     score = rows(spark, [(1, 0.1), (2, 0.2)], "id long, s double")
